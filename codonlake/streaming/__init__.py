@@ -1,0 +1,7 @@
+"""Streaming.
+
+There are no stream operators here: nothing in the data model has event time,
+windows or state. ``find_orfs``, ``annotate_orfs``, ``derive_proteins``,
+``level_entropies`` and ``feature_matrix`` work row by row and therefore accept
+a DataFrame from ``readStream`` unchanged.
+"""
