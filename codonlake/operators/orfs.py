@@ -44,32 +44,6 @@ def _run_pattern(table_id: int) -> str:
     return f"(?:(?!{stop})...)*+(?:{stop})?"
 
 
-def _piece(strand: str, frame: int, tile_bases: int, table_id: int) -> Column:
-    """What one tile must search in one frame, and where that begins."""
-    seq = F.col("plus" if strand == "+" else "minus")
-    head = "^" + _run_pattern(table_id)
-    stops = stop_codons(table_id)
-
-    first = (F.col("tile") * tile_bases + frame).cast("int")
-    chunk = seq.substr(first, F.lit(tile_bases))
-    starts_fresh = (F.col("tile") == 0) | seq.substr(first - 3, F.lit(3)).isin(stops)
-    skipped = F.when(starts_fresh, F.lit(0)).otherwise(F.length(F.regexp_extract(chunk, head, 0)))
-    owned = chunk.substr(skipped + 1, F.lit(tile_bases))
-    beyond = F.regexp_extract(seq.substr(first + tile_bases, F.length(seq)), head, 0)
-    tiled = (
-        F.when((F.col("tile") == F.col("tiles") - 1) | (owned == ""), owned)
-        .when(F.right(chunk, F.lit(3)).isin(stops), owned)
-        .otherwise(F.concat(owned, beyond))
-    )
-    whole = F.col("tiles") == 1
-    return F.struct(
-        F.lit(strand).alias("strand"),
-        F.lit(frame).alias("frame"),
-        F.when(whole, F.lit(frame)).otherwise(first + skipped).alias("start"),
-        F.when(whole, seq.substr(F.lit(frame), F.length(seq))).otherwise(tiled).alias("bases"),
-    )
-
-
 def find_orfs(
     seqs: DataFrame,
     table_id: int = DEFAULT_TABLE_ID,
@@ -89,66 +63,63 @@ def find_orfs(
     if min_nt_length < 1:
         raise ValueError("min_nt_length must be positive")
 
-    tiles = seqs.select(
-        "seq_id",
-        F.upper("seq").alias("plus"),
-        reverse_complement(F.upper("seq")).alias("minus"),
-        F.greatest(F.lit(1), F.ceil(F.length("seq") / tile_bases)).cast("int").alias("tiles"),
-    ).select("seq_id", "plus", "minus", "tiles", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
-
-    frames = [(s, f) for s in "+-" for f in (1, 2, 3)]
-    run = F.lit(_run_pattern(table_id))
-    runs = tiles.select(
-        "seq_id", "tile", F.array(*[_piece(s, f, tile_bases, table_id) for s, f in frames]).alias("pieces")
-    ).select(
+    # The larger expressions are SQL text: building them call by call would
+    # cost more driver time than a small query takes.
+    run = _run_pattern(table_id)
+    is_stop = f"in ({', '.join(repr(c) for c in stop_codons(table_id)) or 'null'})"
+    tiles = seqs.selectExpr(
         "seq_id",
-        "tile",
-        F.transform(
-            "pieces", lambda p: p.withField("runs", F.regexp_extract_all(p["bases"], run, F.lit(0))).dropFields("bases")
-        ).alias("pieces"),
+        "upper(seq) as plus",
+        "reverse(translate(upper(seq), 'ACGT', 'TGCA')) as minus",
+        f"cast(greatest(1, ceil(length(seq) / {tile_bases})) as int) as tiles",
+    ).selectExpr("seq_id", "plus", "minus", "tiles", "explode(sequence(0, tiles - 1)) as tile")
+
+    # Per frame: the bases of this tile; how many of them finish a run that an
+    # earlier tile began; what is left, and the rest of the run it ends with.
+    frames = ", ".join(
+        f"named_struct('strand', '{s}', 'frame', {f}, 'all', {'plus' if s == '+' else 'minus'})"
+        for s in "+-"
+        for f in (1, 2, 3)
     )
-
-    def is_long(run_: Column) -> Column:
-        return F.length(run_) >= min_nt_length
-
-    def long_runs(p: Column) -> Column:
-        # Offsets are kept as text: appending to a string is much cheaper in
-        # this fold than appending to an array.
-        offsets = F.aggregate(
-            p["runs"],
-            F.struct(p["start"].alias("at"), F.lit("").alias("kept")),
-            lambda acc, r: F.struct(
-                (acc["at"] + F.length(r)).alias("at"),
-                F.when(is_long(r), F.concat(acc["kept"], acc["at"].cast("string"), F.lit(",")))
-                .otherwise(acc["kept"])
-                .alias("kept"),
-            ),
-            lambda acc: F.split(acc["kept"], ","),
+    pieces = f"""
+      transform(transform(transform(array({frames}),
+        f -> named_struct('f', f, 'first', tile * {tile_bases} + f.frame,
+          'chunk', substring(f.all, tile * {tile_bases} + f.frame, {tile_bases}))),
+        c -> named_struct('c', c, 'skip',
+          if(tile = 0 or substring(c.f.all, c.first - 3, 3) {is_stop}, 0,
+             length(regexp_extract(c.chunk, '^{run}', 0))))),
+        p -> named_struct('strand', p.c.f.strand, 'frame', p.c.f.frame, 'start', p.c.first + p.skip, 'runs',
+          regexp_extract_all(
+            concat(substring(p.c.chunk, p.skip + 1),
+              if(tile = tiles - 1 or p.skip = length(p.c.chunk) or substring(p.c.chunk, -3) {is_stop}, '',
+                 regexp_extract(substring(p.c.f.all, p.c.first + {tile_bases}), '^{run}', 0))),
+            '{run}', 0)))"""
+    # Offsets are kept as text: appending to a string is much cheaper in this
+    # fold than appending to an array.
+    long_runs = f"""
+      filter(zip_with(
+        filter(p.runs, r -> length(r) >= {min_nt_length}),
+        aggregate(p.runs, named_struct('at', p.start, 'kept', ''),
+          (a, r) -> named_struct('at', a.at + length(r), 'kept',
+            if(length(r) >= {min_nt_length}, concat(a.kept, a.at, ','), a.kept)),
+          a -> split(a.kept, ',')),
+        (nt, at) -> named_struct('strand', p.strand, 'frame', p.frame, 'at', at, 'nt_sequence', nt)),
+        x -> x.nt_sequence is not null)"""
+    orfs = (
+        tiles.selectExpr("seq_id", "tile", f"{pieces} as pieces")
+        .selectExpr(
+            "seq_id as parent_id", "tile", f"posexplode(flatten(transform(pieces, p -> {long_runs}))) as (pos, orf)"
         )
-        pairs = F.zip_with(
-            F.filter(p["runs"], is_long),
-            offsets,
-            lambda nt, at: F.struct(
-                p["strand"].alias("strand"), p["frame"].alias("frame"), at.alias("at"), nt.alias("nt_sequence")
-            ),
+        .selectExpr(
+            "parent_id",
+            f"concat('orf', cast(tile as bigint) * {2 * tile_bases} + pos + 1) as orf_id",
+            "cast(orf.at as int) as start",
+            "cast(orf.at as int) + length(orf.nt_sequence) - 1 as end",
+            "orf.strand",
+            "orf.frame",
+            "orf.nt_sequence",
+            f"{table_id} as table_id",
         )
-        return F.filter(pairs, lambda x: x["nt_sequence"].isNotNull())
-
-    orfs = runs.select(
-        F.col("seq_id").alias("parent_id"),
-        "tile",
-        F.posexplode(F.flatten(F.transform("pieces", long_runs))).alias("pos", "orf"),
-    ).select(
-        "parent_id",
-        F.concat(
-            F.lit("orf"), F.col("tile").cast("long") * (2 * tile_bases) + F.col("pos") + 1
-        ).alias("orf_id"),
-        F.col("orf.at").cast("int").alias("start"),
-        (F.col("orf.at").cast("int") + F.length("orf.nt_sequence") - 1).alias("end"),
-        "orf.strand",
-        "orf.frame",
-        "orf.nt_sequence",
-        F.lit(table_id).alias("table_id"),
     )
     return _from_first_start(orfs, table_id, min_nt_length) if require_start else orfs
 
