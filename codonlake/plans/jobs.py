@@ -24,7 +24,7 @@ from codonlake.operators.proteins import derive_proteins, translate_orfs
 from codonlake.operators.splits import exact_split, group_split
 from codonlake.sources.genbank import read_inputs
 from codonlake.sources.reports import report_predictions, write_predictions
-from codonlake.sources.results import explode_features, nest_features, read_results, to_unified, write_results
+from codonlake.sources.results import flat_features, nest_features, read_results, write_results
 
 
 def orf_table(
@@ -109,7 +109,7 @@ def run(
 
 def result_features(results: DataFrame) -> DataFrame:
     """Classifier rows of result files of either form."""
-    return feature_matrix(explode_features(to_unified(results)))
+    return feature_matrix(flat_features(results))
 
 
 @dataclass

@@ -364,6 +364,10 @@ SELECT parent_id, orf_id, strand, aa_length AS protein_length, round(dna_entropy
     "list_results_completeness": f"""
 WITH {ORFS}
 SELECT parent_id AS input_id, 'lists' AS format, count(*) AS expected, count(*) FILTER (has_start_codon) AS actual
+FROM orfs GROUP BY parent_id""",
+    "list_results_rewritten": f"""
+WITH {ORFS}
+SELECT parent_id AS input_id, '2.0.0' AS schema_version, count(*) FILTER (has_start_codon) AS n_features
 FROM orfs GROUP BY parent_id""",
     "result_files_listed": "SELECT 'unified' AS format, count(*) AS n_results FROM documents",
     "full_run": f"""

@@ -719,7 +719,7 @@ def result_files(spark, sf_dir):
 def result_features(spark, sf_dir):
     """Flat features out of the nested result files."""
     read = results.read_results(spark, _result_files(spark, sf_dir), json_lines=True)
-    rows = results.explode_features(results.to_unified(read))
+    rows = results.flat_features(read)
     return rows.select(
         *KEYS, "start", "strand", "dna_length", "protein_length", "in_genbank",
         r6("dna_entropy").alias("dna_entropy"), r6("three_di_entropy").alias("three_di_entropy"),
@@ -767,8 +767,7 @@ def list_results_unified(spark, sf_dir):
     """The older form read, converted and flattened; ORFs without a protein drop."""
     path = scratch_path(spark, "list-results")
     _list_results(spark, sf_dir).write.json(path)
-    unified = results.to_unified(results.read_results(spark, path, json_lines=True))
-    rows = results.explode_features(unified)
+    rows = results.flat_features(results.read_results(spark, path, json_lines=True))
     return rows.select(
         *KEYS, "strand", "protein_length", r6("dna_entropy").alias("dna_entropy"),
         r6("three_di_entropy").alias("three_di_entropy"), F.md5("three_di").alias("three_di_md5"),
@@ -780,8 +779,18 @@ def list_results_completeness(spark, sf_dir):
     """ORFs before and features after the conversion, per sequence."""
     path = scratch_path(spark, "list-results")
     _list_results(spark, sf_dir).write.json(path)
-    unified = results.to_unified(results.read_results(spark, path, json_lines=True))
-    return unified.select("input_id", "format", big("expected").alias("expected"), big("actual").alias("actual"))
+    counts = results.conversion_counts(results.read_results(spark, path, json_lines=True))
+    return counts.select("input_id", F.lit("lists").alias("format"), big("expected").alias("expected"), big("actual").alias("actual"))
+
+
+@query
+def list_results_rewritten(spark, sf_dir):
+    """The older form converted, written in the unified form and looked up."""
+    path = scratch_path(spark, "rewritten")
+    _list_results(spark, sf_dir).write.json(f"{path}/lists")
+    results.write_results(results.read_results(spark, f"{path}/lists", json_lines=True), f"{path}/unified")
+    read = results.read_results(spark, f"{path}/unified", json_lines=True)
+    return read.select("input_id", "schema_version", big(F.size("features")).alias("n_features"))
 
 
 @query
