@@ -32,13 +32,20 @@ def shannon_entropy(seq: Column | str, alphabet_size: int | None = None, normali
     With ``normalize`` and an alphabet of more than one symbol the result is
     divided by the logarithm of the alphabet size.
     """
-    seq = _col(seq)
-    total = F.length(seq)
-    shares = F.transform(
-        _symbols(seq), lambda c: (total - F.length(F.replace(seq, c, F.lit("")))) / total
-    )
-    bits = F.aggregate(shares, F.lit(0.0), lambda h, p: F.when(p > 0, h - p * F.log2(p)).otherwise(h))
-    entropy = F.when(total == 0, F.lit(0.0)).otherwise(bits)
+
+    def entropy_of(bound: Column) -> Column:
+        text, total = bound["text"], bound["total"]
+        shares = F.transform(
+            _symbols(text), lambda c: (total - F.length(F.replace(text, c, F.lit("")))) / total
+        )
+        return F.aggregate(shares, F.lit(0.0), lambda h, p: F.when(p > 0, h - p * F.log2(p)).otherwise(h))
+
+    # The one-element array binds the text and its length, which the lambdas
+    # would otherwise compute anew for every symbol.
+    text = _col(seq)
+    bound = F.array(F.struct(text.alias("text"), F.length(text).alias("total")))
+    bits = F.get(F.transform(bound, entropy_of), F.lit(0))
+    entropy = F.when(F.length(text) == 0, F.lit(0.0)).otherwise(bits)
     if normalize and alphabet_size and alphabet_size > 1:
         entropy = entropy / F.lit(max_entropy(alphabet_size))
     return entropy

@@ -14,6 +14,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from codonlake.session import stored
+
 ROWS_PER_TASK = 1_000_000
 
 
@@ -48,14 +50,15 @@ def token_budget_batches(
 ) -> DataFrame:
     """``(keys, length, batch_id)`` with batches numbered from 1, longest first.
 
-    ``keys`` must identify a row. The histogram holds one row per distinct
+    ``keys`` must identify a row. Keys and lengths are stored first, as they
+    are read for the histogram and again for the ranks. The histogram holds one row per distinct
     length, and n distinct lengths take at least n^2 / 2 residues, so the one
     task that cuts it stays small. Ranks within a length are taken in salted
     parts, which keeps a length shared by very many rows off a single task.
     """
     if budget <= 0:
         raise ValueError("token budget must be > 0")
-    rows = df.select(*keys, F.col(length).cast("long").alias("length"))
+    rows = stored(df.select(*keys, F.col(length).cast("long").alias("length")), "lengths")
     cuts = (
         rows.groupBy("length")
         .agg(F.count("*").alias("rows"))

@@ -58,11 +58,13 @@ def symbol_counts(seqs: DataFrame, key: str = "seq_id", seq: str = "seq") -> Dat
             F.sequence(F.lit(0), F.floor(F.greatest(F.length(text) - 1, F.lit(0)) / CHUNK_SYMBOLS).cast("int"))
         ).alias("_chunk"),
     ).select(key, F.col("_text").substr(F.col("_chunk") * CHUNK_SYMBOLS + 1, F.lit(CHUNK_SYMBOLS)).alias("_text"))
-    counted = chunks.where(F.length("_text") > 0).select(
-        key, "_text", F.explode(F.array_distinct(F.split("_text", ""))).alias("symbol")
-    ).select(
-        key, "symbol", (F.length("_text") - F.length(F.replace(F.col("_text"), F.col("symbol"), F.lit("")))).alias("n")
+    counts = F.transform(
+        F.array_distinct(F.split("_text", "")),
+        lambda c: F.struct(
+            c.alias("symbol"), (F.length("_text") - F.length(F.replace(F.col("_text"), c, F.lit("")))).alias("n")
+        ),
     )
+    counted = chunks.where(F.length("_text") > 0).select(key, F.inline(counts))
     return counted.groupBy(key, "symbol").agg(F.sum("n").alias("n"))
 
 

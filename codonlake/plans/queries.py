@@ -30,7 +30,7 @@ from codonlake.operators.orfs import (
 )
 from codonlake.operators.proteins import derive_proteins, translate_orfs, translation_mismatches
 from codonlake.plans import derived as d, jobs
-from codonlake.session import scratch_path, spread
+from codonlake.session import scratch_path, spread, stored
 from codonlake.sources import fasta, genbank, orf_fasta, reports, results, stages
 
 KEYS = ["parent_id", "orf_id"]
@@ -71,9 +71,7 @@ def features(spark, sf_dir) -> DataFrame:
 
 def stored_features(spark, sf_dir) -> DataFrame:
     """Features written once to shared storage, for jobs that read them often."""
-    path = scratch_path(spark, "features")
-    features(spark, sf_dir).write.parquet(path)
-    return spark.read.parquet(path)
+    return stored(features(spark, sf_dir), "features")
 
 
 # --- entropy -----------------------------------------------------------------
@@ -307,9 +305,7 @@ def encoded_proteins(spark, sf_dir):
 @query
 def encoded_proteins_in_global_batches(spark, sf_dir):
     """The same in the exact batches of the whole table, from a stored table."""
-    path = scratch_path(spark, "proteins")
-    d.proteins(spark, sf_dir).write.parquet(path)
-    encoded = encode_proteins(spark.read.parquet(path), d.stand_in_encoder, batching="global")
+    encoded = encode_proteins(stored(d.proteins(spark, sf_dir), "proteins"), d.stand_in_encoder, batching="global")
     return encoded.select(*KEYS, F.md5("three_di").alias("three_di_md5"), "method")
 
 
@@ -824,11 +820,8 @@ def full_run(spark, sf_dir):
 
 
 def _model_rows(spark, sf_dir) -> DataFrame:
-    path = scratch_path(spark, "matrix")
     docs = d.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("parent_id"), "source")
-    matrix = feature_matrix(features(spark, sf_dir)).join(docs, "parent_id")
-    matrix.write.parquet(path)
-    return spark.read.parquet(path)
+    return stored(feature_matrix(features(spark, sf_dir)).join(docs, "parent_id"), "matrix")
 
 
 @query

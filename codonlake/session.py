@@ -42,6 +42,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table once and return it as read back.
+
+    For inputs that a job reads more than once: the work above it is done one
+    time, and a lost executor repeats only reads of the table.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def spread(df: DataFrame, *keys: str, waves: int = 4) -> DataFrame:
     """Repartition a scan that has too few splits for the cores at hand.
 
