@@ -21,9 +21,11 @@ def match_annotated(
     the ORF's own sequence.
     """
     keys = ["_tail"] + (["parent_id"] if same_parent else [])
+    # CDS without a protein drop out before the join, which would otherwise
+    # push its null check down into the translation.
+    annotated = F.when(F.length("protein_sequence") > 0, c_terminal("protein_sequence", n))
     tails = (
-        cds.where(F.length("protein_sequence") > 0)
-        .withColumn("_tail", c_terminal("protein_sequence", n))
+        cds.select(*keys[1:], F.explode(F.filter(F.array(annotated), lambda t: t.isNotNull())).alias("_tail"))
         .select(*keys)
         .distinct()
         .withColumn("_hit", F.lit(True))

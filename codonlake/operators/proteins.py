@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from codonlake.alphabets import DEFAULT_TABLE_ID
 from codonlake.functions import strip_trailing_stop, translate_codons
+from codonlake.operators.binding import compute_once
 
 
 def translation_mismatches(orfs: DataFrame, table_id: int = DEFAULT_TABLE_ID) -> DataFrame:
     """ORFs whose supplied residues differ from their translation."""
-    return orfs.withColumn("translated", translate_codons("nt_sequence", table_id)).where(
+    return compute_once(orfs, translated=translate_codons("nt_sequence", table_id)).where(
         ~F.col("translated").eqNullSafe(F.col("aa_sequence"))
     )
 
@@ -24,7 +25,7 @@ def translate_orfs(orfs: DataFrame, table_id: int = DEFAULT_TABLE_ID, on_mismatc
     """
     if on_mismatch not in ("fail", "reject"):
         raise ValueError("on_mismatch must be 'fail' or 'reject'")
-    translated = orfs.withColumn("_translated", translate_codons("nt_sequence", table_id))
+    translated = compute_once(orfs, _translated=translate_codons("nt_sequence", table_id))
     same = F.col("_translated").eqNullSafe(F.col("aa_sequence"))
     if on_mismatch == "reject":
         translated = translated.where(same)

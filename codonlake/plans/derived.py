@@ -64,13 +64,14 @@ def orfs(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
 def coding_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``cds``: ORFs of good documents without their first five residues."""
     found = orf_table(annotated_sequences(spark, sf_dir))
-    return found.select(
+    # Residues remain if there are more than five codons.
+    return found.where(F.length("nt_sequence") > 15).select(
         "parent_id",
         (F.col("start") - 1).alias("start"),
         "end",
         "strand",
         F.expr("substring(aa_sequence, 6)").alias("protein_sequence"),
-    ).where("protein_sequence <> ''")
+    )
 
 
 def matched_orfs(spark: SparkSession, sf_dir: str, **options) -> DataFrame:

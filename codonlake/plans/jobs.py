@@ -91,6 +91,7 @@ def run(
     fasta=None,
     genbank=None,
     compute_entropy: bool = True,
+    validate: bool = True,
     **options,
 ) -> tuple[DataFrame, DataFrame]:
     """Full run over files: ``(features, results)``, both written below ``output``.
@@ -99,7 +100,7 @@ def run(
     from that table, so no ORF is computed twice and a lost executor costs
     only its own tasks.
     """
-    seqs, cds = read_inputs(spark, fasta, genbank)
+    seqs, cds = read_inputs(spark, fasta, genbank, validate)
     feature_table(seqs, cds, compute_entropy=compute_entropy, **options).write.parquet(f"{output}/features")
     features = spark.read.parquet(f"{output}/features")
     heads = result_headers(seqs, features, compute_entropy)

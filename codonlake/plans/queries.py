@@ -17,6 +17,7 @@ from codonlake.functions import (
     trim_to_length,
 )
 from codonlake.operators import assemble, batching, labels, levels, metrics, splits, summaries, validation
+from codonlake.operators.binding import compute_once
 from codonlake.operators.classifier import OrfClassifier
 from codonlake.operators.encoding import encode_proteins
 from codonlake.operators.features import feature_matrix, incomplete
@@ -143,7 +144,7 @@ def level_entropies_normalized(spark, sf_dir):
 
 @query
 def low_complexity_proteins(spark, sf_dir):
-    proteins = levels.add_entropy(d.proteins(spark, sf_dir), "protein_aa", "h")
+    proteins = compute_once(d.proteins(spark, sf_dir), h=sequence_entropy("protein_aa"))
     return proteins.where(labels.is_low_complexity(F.round("h", 9))).select(*KEYS, r6("h").alias("protein_entropy"))
 
 

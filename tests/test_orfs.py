@@ -186,3 +186,16 @@ def test_orfs_on_a_stream(spark, tmp_path):
     query.awaitTermination(60)
     batch = annotate_orfs(find_orfs(spark.read.parquet(str(tmp_path / "in"))))
     assert spark.read.parquet(str(tmp_path / "out")).count() == batch.count()
+
+
+def test_very_long_runs(spark):
+    """Runs of a million codons must neither overflow the matcher nor be cut."""
+    seqs = {"n": "N" * 7_000_000, "open": "ATG" + "GCA" * 2_400_000 + "TAA" + "GCA" * 40}
+    orfs = find_orfs(frame_of(spark, seqs), min_nt_length=1_000)
+    rows = orfs.select("parent_id", "strand", "frame", "start", "end", F.length("nt_sequence").alias("n")).collect()
+    plus = [r for r in rows if r["parent_id"] == "open" and r["strand"] == "+" and r["frame"] == 1]
+    assert [(r["start"], r["end"]) for r in plus] == [(1, 7_200_006)]
+    assert all(r["end"] - r["start"] + 1 == r["n"] for r in rows)
+    assert sorted((r["strand"], r["frame"], r["n"]) for r in rows if r["parent_id"] == "n") == [
+        (s, f, (7_000_000 - f + 1) // 3 * 3) for s in "+-" for f in (1, 2, 3)
+    ]

@@ -293,3 +293,20 @@ def test_full_run(spark, tmp_path):
     features, read = jobs.run(spark, str(tmp_path / "plain"), fasta=tmp_path / "x.fa", compute_entropy=False)
     assert features.where("dna_entropy <> 0").count() == 0
     assert all(r["alphabet_sizes"] == {} and r["dna_entropy_global"] == 0.0 for r in read.collect())
+
+
+def test_long_genbank_record(spark, tmp_path):
+    """A protein and a sequence far longer than a matcher's stack is deep."""
+    residues, bases = "MKLV" * 20_000, "acgtacgtac" * 100_000
+    lines = ("\n" + " " * 21).join(residues[i : i + 58] for i in range(0, len(residues), 58))
+    origin = "\n".join(f"{i + 1:>9} {bases[i : i + 60]}" for i in range(0, len(bases), 60))
+    text = (
+        f"LOCUS       BIG {len(bases)} bp DNA\nVERSION     BIG.1\nFEATURES             Location/Qualifiers\n"
+        f"     CDS             1..240003\n                     /translation=\"{lines}\"\nORIGIN\n{origin}\n//\n"
+    )
+    (tmp_path / "big.gb").write_text(text)
+    assert genbank.read_genbank(spark, tmp_path / "big.gb").first()["seq"] == bases.upper()
+    assert genbank.read_cds(spark, tmp_path / "big.gb").first()["protein_sequence"] == residues
+    (tmp_path / "big.fa").write_text(f">big\n{bases}\n>long line\n" + "\n".join(["acgt" * 20] * 20_000) + "\n")
+    read = {r["seq_id"]: len(r["seq"]) for r in fasta.read_fasta(spark, tmp_path / "big.fa").collect()}
+    assert read == {"big": 1_000_000, "long": 1_600_000}
