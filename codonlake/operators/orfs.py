@@ -50,12 +50,14 @@ def find_orfs(
     min_nt_length: int = DEFAULT_MIN_NT_LENGTH,
     require_start: bool = False,
     tile_bases: int = TILE_BASES,
+    spread_tiles: bool = False,
 ) -> DataFrame:
     """ORFs of ``seqs(seq_id, seq)`` of at least ``min_nt_length`` bases.
 
     ``orf_id`` counts ORFs within their sequence by strand, frame and start.
     A sequence longer than a tile gets unique numbers with gaps, because dense
-    ones would need a shuffle. ``require_start`` keeps ORFs that have a stop
+    ones would need a shuffle. ``spread_tiles`` shuffles the tiles before they
+    are searched, for input of few but very long sequences. ``require_start`` keeps ORFs that have a stop
     and cuts each back to its first ATG.
     """
     if tile_bases <= 0 or tile_bases % 3:
@@ -88,12 +90,13 @@ def find_orfs(
         c -> named_struct('c', c, 'skip',
           if(tile = 0 or substring(c.f.all, c.first - 3, 3) {is_stop}, 0,
              length(regexp_extract(c.chunk, '^{run}', 0))))),
-        p -> named_struct('strand', p.c.f.strand, 'frame', p.c.f.frame, 'start', p.c.first + p.skip, 'runs',
-          regexp_extract_all(
-            concat(substring(p.c.chunk, p.skip + 1),
-              if(tile = tiles - 1 or p.skip = length(p.c.chunk) or substring(p.c.chunk, -3) {is_stop}, '',
-                 regexp_extract(substring(p.c.f.all, p.c.first + {tile_bases}), '^{run}', 0))),
-            '{run}', 0)))"""
+        p -> named_struct('strand', p.c.f.strand, 'frame', p.c.f.frame, 'start', p.c.first + p.skip, 'bases',
+          concat(substring(p.c.chunk, p.skip + 1),
+            if(tile = tiles - 1 or p.skip = length(p.c.chunk) or substring(p.c.chunk, -3) {is_stop}, '',
+               regexp_extract(substring(p.c.f.all, p.c.first + {tile_bases}), '^{run}', 0)))))"""
+    searched = f"""
+      transform(pieces, p -> named_struct('strand', p.strand, 'frame', p.frame, 'start', p.start,
+        'runs', regexp_extract_all(p.bases, '{run}', 0)))"""
     # Offsets are kept as text: appending to a string is much cheaper in this
     # fold than appending to an array.
     long_runs = f"""
@@ -105,8 +108,11 @@ def find_orfs(
           a -> split(a.kept, ',')),
         (nt, at) -> named_struct('strand', p.strand, 'frame', p.frame, 'at', at, 'nt_sequence', nt)),
         x -> x.nt_sequence is not null)"""
+    cut = tiles.selectExpr("seq_id", "tile", f"{pieces} as pieces")
+    if spread_tiles:
+        cut = cut.repartition("seq_id", "tile")
     orfs = (
-        tiles.selectExpr("seq_id", "tile", f"{pieces} as pieces")
+        cut.selectExpr("seq_id", "tile", f"{searched} as pieces")
         .selectExpr(
             "seq_id as parent_id", "tile", f"posexplode(flatten(transform(pieces, p -> {long_runs}))) as (pos, orf)"
         )

@@ -64,6 +64,12 @@ def test_other_codes(spark, table_id):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_spread_tiles(spark):
+    seqs = frame_of(spark, random_sequences())
+    plain, spread = (find_orfs(seqs, tile_bases=63, spread_tiles=s) for s in (False, True))
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, spread.collect()))
+
+
 def test_dense_ids_and_lower_case(spark):
     orfs = find_orfs(frame_of(spark, {"s": "atgaaacccgggtaaatg" * 20})).orderBy(F.desc("strand"), "frame", "start")
     rows = orfs.collect()
