@@ -46,7 +46,6 @@ class Vocabulary:
         self.ids = {pieces[i]: i for i in plain}
         self.scores = dict(zip(range(len(pieces)), scores))
         self.least = min((scores[i] for i in plain), default=0.0) - 10
-        self.longest = max((len(p) for p in self.ids), default=1)
         self.ranks: dict[int, int] = {}
         self.splits: dict[int, tuple[int, int]] = {}
         if bpe:
@@ -65,6 +64,11 @@ class Vocabulary:
             self.reached = whole
         else:
             self.reached = self.ids
+        ends: dict[str, set[int]] = {}
+        for piece in self.reached:
+            if len(piece) > 1:
+                ends.setdefault(piece[-2:], set()).add(len(piece))
+        self.lengths = {e: tuple(sorted(n, reverse=True)) for e, n in ends.items()}
 
     @classmethod
     def load(cls, path: str = MODEL) -> Vocabulary:
@@ -144,17 +148,26 @@ class Encoder:
 
     def _ranked(self, word: str, end: int, entries: list) -> tuple[int, int]:
         """(last piece, its length) of the BPE encoding of a prefix."""
-        reached = self.v.reached
-        for length in range(min(end, self.v.longest), 0, -1):
+        reached, allowed = self.v.reached, self.allowed
+        for length in self.v.lengths.get(word[max(0, end - 2) : end], ()):
+            if length > end:
+                continue
             piece = reached.get(word[end - length : end])
-            if piece is not None and (length == end or self.follows(entries[end - length - 1][0], piece)):
-                return piece, length
-        return -ord(word[end - 1]), 1
+            if piece is not None:
+                if length == end:
+                    return piece, length
+                left = entries[end - length - 1][0]
+                known = allowed.get((left, piece))
+                if known or known is None and self.follows(left, piece):
+                    return piece, length
+        return reached.get(word[end - 1], -ord(word[end - 1])), 1
 
     def _scored(self, word: str, end: int, entries: list) -> tuple[int, int, float]:
         """(last piece, its length, score) of the best path to a prefix."""
         best = None
-        for length in range(min(end, self.v.longest), 0, -1):
+        for length in (*self.v.lengths.get(word[max(0, end - 2) : end], ()), 1):
+            if length > end:
+                continue
             piece = self.v.reached.get(word[end - length : end])
             if piece is None and length > 1:
                 continue
