@@ -19,17 +19,15 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 #: Labelled blocks: words and link density of the block before, of the block and of the block after it;
 #: zone (1 article, 0 none, -1 surroundings); whether it is main text.
-LABELLED = [
-    # pages that mark their article: any block in it counts, however short
-    (0, 0.0, 9, 0.0, 40, 0.0, 1, 1), (9, 0.0, 44, 0.0, 35, 0.0, 1, 1), (44, 0.0, 2, 0.0, 61, 0.1, 1, 1),
-    (61, 0.1, 1, 0.0, 80, 0.0, 1, 1), (12, 0.0, 6, 1.0, 30, 0.0, 1, 1), (3, 1.0, 8, 0.0, 20, 0.0, 1, 1),
-    (5, 1.0, 120, 0.0, 12, 0.0, 1, 1), (30, 0.0, 14, 0.5, 9, 0.0, 1, 1), (25, 0.0, 70, 0.05, 3, 1.0, 1, 1),
-    (1, 1.0, 1, 0.0, 1, 0.0, 1, 1), (200, 0.0, 17, 0.0, 11, 0.0, 1, 1), (16, 0.0, 3, 0.4, 0, 0.0, 1, 1),
-    # what stands around an article, or in it and marked as something else
-    (0, 0.0, 1, 1.0, 1, 1.0, -1, 0), (1, 1.0, 1, 1.0, 9, 0.0, -1, 0), (1, 1.0, 9, 0.0, 12, 0.0, -1, 0),
-    (50, 0.0, 12, 0.0, 0, 0.0, -1, 0), (50, 0.0, 45, 0.0, 30, 0.0, -1, 0), (8, 0.0, 80, 0.0, 40, 0.0, -1, 0),
-    (33, 0.0, 25, 0.2, 60, 0.0, -1, 0), (2, 1.0, 160, 0.0, 10, 0.0, -1, 0), (40, 0.0, 4, 0.0, 60, 0.0, -1, 0),
-    (16, 0.3, 7, 0.9, 3, 1.0, -1, 0), (70, 0.0, 20, 0.0, 90, 0.0, -1, 0), (0, 0.0, 30, 0.0, 30, 0.0, -1, 0),
+#: Where a page marks its article, blocks of all sizes are main text in it and none around it.
+_MARKED = [
+    (before, link, words, density, after, 0.0, zone, int(zone > 0))
+    for zone in (1, -1)
+    for words, density in ((1, 0.0), (2, 1.0), (9, 0.0), (14, 0.5), (30, 0.0), (44, 0.2), (120, 0.0))
+    for before, link in ((0, 0.0), (1, 1.0), (60, 0.0))
+    for after in (1, 60)
+]
+LABELLED = _MARKED + [
     # pages without such marks: long text with few links, or short text between long ones
     (0, 0.0, 45, 0.0, 50, 0.0, 0, 1), (40, 0.0, 60, 0.05, 38, 0.0, 0, 1), (55, 0.0, 18, 0.0, 64, 0.0, 0, 1),
     (60, 0.0, 6, 0.0, 72, 0.0, 0, 1), (35, 0.1, 90, 0.1, 4, 1.0, 0, 1), (2, 1.0, 33, 0.0, 41, 0.0, 0, 1),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codonlake.llm import html, mixing, pieces, quality, secrets, simhash, warc
+from codonlake.llm import hamming, html, language, mixing, pieces, quality, secrets, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -26,6 +26,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_table(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op3_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.nearest_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 @_query
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_table(_table(spark, sf_dir, "documents"))
@@ -51,6 +56,11 @@ def op8_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op9_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_table(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.page_texts(_table(spark, sf_dir, "pages"))
@@ -70,3 +80,18 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = original THEN NULL ELSE original END AS refers_to
 FROM m"""
+
+#: Sign codes, and the ten nearest by Hamming distance, then id, of every vector whose id is divisible by 50.
+ORACLE["op3_hamming_top_k"] = """
+WITH bits AS (
+  SELECT vec_id, unnest(range(64)) AS i, embedding FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+), codes AS (
+  SELECT vec_id AS id, string_agg(CASE WHEN coalesce(embedding[i + 1], 0) > 0 THEN '1' ELSE '0' END, '' ORDER BY i)::BIT AS code
+  FROM bits GROUP BY vec_id
+), pairs AS (
+  SELECT q.id AS query_id, c.id AS neighbor_id, bit_count(xor(q.code, c.code))::INT AS distance
+  FROM codes q, codes c WHERE q.id % 50 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id)::INT AS rank FROM pairs
+)
+SELECT query_id, rank, neighbor_id, distance FROM ranked WHERE rank <= 10"""
