@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codonlake.llm import hamming, html, language, mixing, pieces, quality, secrets, simhash, warc
+from codonlake.llm import hamming, html, language, mixing, pieces, quality, secrets, simhash, suffixes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -26,6 +26,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_table(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(_table(spark, sf_dir, "documents"), keep_text=False)
+
+
 @_query
 def op3_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.nearest_vectors(_table(spark, sf_dir, "embeddings"))
