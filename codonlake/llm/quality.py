@@ -1,32 +1,32 @@
 """Quality rules: simple counts, and a hashed n-gram log-likelihood ratio of every document.
 
-Words and word pairs fall into ``buckets`` by hash. Two multinomials are
+Words and pairs of neighbouring words fall into ``buckets`` by hash. Two multinomials are
 counted over all documents: one over the trusted target (documents that the
 strict rules below let pass), one over the raw corpus. A document's score is the
-mean, over its n-grams, of the log ratio of the two; the verdict is a fixed
+mean, over its words and pairs, of the log ratio of the two; the verdict is a fixed
 threshold on the score. Only built-in functions run; the table of log ratios has
-``buckets`` entries whatever the corpus.
+``buckets`` entries whatever the corpus. Texts are read twice, and nothing but the
+counts of the buckets is shuffled.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from codonlake.llm.words import words
+from codonlake.llm.words import bound, words
 from codonlake.operators.binding import compute_once
 
 BUCKETS = 10_000
 THRESHOLD = -0.5
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
-TRUSTED_REPEAT_PERCENT = 5
 TRUSTED_SYMBOL_PERCENT = 1
 SYMBOLS = "#*$%&|<>"
 _WHITE = " \t\n\x0b\x0c\r"
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def _repeated_words(windows: Column, in_order: Column) -> Column:
+def _repeated_words(in_order: Column) -> Column:
     """Words covered by windows of three that occur twice or more; ``in_order`` holds (hash, place) sorted."""
     twice = F.filter(
         in_order,
@@ -42,64 +42,47 @@ def _repeated_words(windows: Column, in_order: Column) -> Column:
     return F.when(F.size(in_order) == 0, F.lit(0)).otherwise(covered)
 
 
-def measured(df: DataFrame, text: str = "text", buckets: int = BUCKETS) -> DataFrame:
-    """Add the struct ``__quality``: counts, ``base_failed``, ``trusted`` and hashed ``grams``.
+def _neighbours(array: str) -> tuple[Column, Column]:
+    """An array without its last and without its first element."""
+    n = F.greatest(F.size(array) - 1, F.lit(0))
+    return F.slice(array, 1, n), F.slice(array, 2, n)
 
-    A null text has no words. Windows of three words are compared by a 64-bit
-    hash within their document.
+
+def _dup_lines(text: Column) -> Column:
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    return bound(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+
+
+def _symbols(text: Column) -> Column:
+    return (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long")
+
+
+def _word_chars(text: Column) -> Column:
+    return F.length(F.translate(text, _WHITE, "")).cast("long")
+
+
+def log_ratios(df: DataFrame, text: str = "text", buckets: int = BUCKETS) -> DataFrame:
+    """One row: ``llr``, the log ratio of target to raw frequency of each bucket, each count raised by one.
+
+    The trusted target is every document of at least ``MIN_WORDS`` words without
+    repeated lines and with few symbols.
     """
-    given = df.columns
-    one = compute_once(df.withColumn("__text", F.coalesce(F.col(text), F.lit(""))), __words=words(F.col("__text")))
-    two = compute_once(one, __h=F.transform("__words", lambda w: F.xxhash64(w)))
-    n, h = F.size("__h"), F.col("__h")
-    next_to = lambda i, k: F.get(h, i + k)
-    pairs = F.transform(F.slice(h, 1, F.greatest(n - 1, F.lit(0))), lambda x, i: F.xxhash64(x, next_to(i, 1)))
-    threes = F.transform(
-        F.slice(h, 1, F.greatest(n - 2, F.lit(0))), lambda x, i: F.xxhash64(x, next_to(i, 1), next_to(i, 2))
-    )
-    three = compute_once(two.drop("__words"), __pairs=pairs, __threes=threes)
-    places = F.sort_array(F.transform("__threes", lambda x, i: F.struct(x.alias("hash"), i.alias("place"))))
-    some = F.size(F.array_distinct("__threes")) < F.size("__threes")
-    lines = F.filter(F.split("__text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    four = compute_once(
-        three,
-        __order=F.when(some, places).otherwise(F.slice(places, 1, 0)),
-        __lines=lines,
-        __n_symbols=(F.length("__text") - F.length(F.translate("__text", SYMBOLS, ""))).cast("long"),
-        __word_chars=F.length(F.translate("__text", _WHITE, "")).cast("long"),
-    )
-    five = compute_once(
-        four,
-        __repeat=_repeated_words(F.col("__threes"), F.col("__order")).cast("long"),
-        __dup=(F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-    )
-    n, repeat = n.cast("long"), F.col("__repeat")
-    failed = (n < MIN_WORDS) | (100 * repeat > REPEAT_PERCENT * n)
+    given = df.select(F.coalesce(F.col(text), F.lit("")).alias("t"))
+    split = compute_once(given, w=words(F.col("t")))
     trusted = (
-        ~failed
-        & (100 * repeat <= TRUSTED_REPEAT_PERCENT * n)
-        & (F.col("__dup") == 0)
-        & (100 * F.col("__n_symbols") <= TRUSTED_SYMBOL_PERCENT * F.col("__word_chars"))
+        (F.size("w") >= MIN_WORDS)
+        & (100 * _symbols(F.col("t")) <= TRUSTED_SYMBOL_PERCENT * _word_chars(F.col("t")))
+        & (_dup_lines(F.col("t")) == 0)
     )
-    into = lambda x: F.pmod(x, F.lit(buckets)).cast("int")
-    quality = F.struct(
-        n.alias("n_words"),
-        F.col("__word_chars").alias("word_chars"),
-        F.col("__n_symbols").alias("n_symbols"),
-        F.col("__dup").alias("n_dup_lines"),
-        repeat.alias("n_repeat_words"),
-        failed.alias("base_failed"),
-        trusted.alias("trusted"),
-        F.concat(F.transform("__h", into), F.transform("__pairs", into)).alias("grams"),
+    pairs = compute_once(split, trusted=trusted.cast("long")).select(
+        "trusted", F.explode(F.arrays_zip(F.col("w").alias("a"), _neighbours("w")[1].alias("b"))).alias("p")
     )
-    return five.select(*[F.col(f"`{c}`") for c in given], quality.alias("__quality"))
-
-
-def log_ratios(measures: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """One row: ``llr``, the log ratio of target to raw frequency of each bucket, each count raised by one."""
-    grams = measures.select(F.col("__quality.trusted").cast("long").alias("t"), F.explode("__quality.grams").alias("gram"))
-    counts = grams.groupBy("gram").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
-    grid = measures.sparkSession.range(buckets).select(F.col("id").cast("int").alias("gram"))
+    hashed = pairs.select("trusted", F.xxhash64("p.a").alias("a"), F.when(F.col("p.b").isNotNull(), F.xxhash64("p.b")).alias("b"))
+    pair = F.when(F.col("b").isNotNull(), F.xxhash64("a", "b"))
+    grams = hashed.select("trusted", F.explode(F.array("a", pair)).alias("hash")).filter("hash IS NOT NULL")
+    gram = F.pmod("hash", F.lit(buckets)).cast("int").alias("gram")
+    counts = grams.groupBy(gram).agg(F.count("*").alias("raw"), F.sum("trusted").alias("target"))
+    grid = df.sparkSession.range(buckets).select(F.col("id").cast("int").alias("gram"))
     cells = grid.join(counts, "gram", "left").select(
         "gram", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target")
     )
@@ -115,21 +98,46 @@ def log_ratios(measures: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 
 def judged(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
-    """Add ``__quality`` with the counts, ``base_failed``, ``score`` and ``kept``.
+    """Add the struct ``__quality``: the counts, ``base_failed``, ``score`` and ``kept``.
 
-    Every document is scored; one without n-grams scores 0 (and fails the base
-    rules). The same input gives the same verdicts. An empty table stays empty.
+    Every document is scored; one without words scores 0 (and fails
+    the base rules). A null text has no words. Windows of three words are compared by
+    a 64-bit hash within their document. The same input gives the same
+    verdicts. An empty table stays empty.
     """
-    measures = measured(df, text, buckets)
-    llr = log_ratios(measures, buckets).scalar()
-    total = F.aggregate("__quality.grams", F.lit(0.0), lambda s, g: s + F.get("__llr", g))
-    score = F.coalesce(F.try_divide(total, F.size("__quality.grams")), F.lit(0.0))
     given = [F.col(f"`{c}`") for c in df.columns]
-    counts = [F.col(f"__quality.{c}") for c in [*_COUNTS, "base_failed"]]
-    scored = measures.select("*", llr.alias("__llr")).select(*given, "__quality", score.alias("__score"))
-    kept = ~F.col("__quality.base_failed") & (F.col("__score") >= threshold)
-    verdict = F.struct(*counts, F.col("__score").alias("score"), kept.alias("kept"))
-    return compute_once(scored, __verdict=verdict).select(*given, F.col("__verdict").alias("__quality"))
+    llr = log_ratios(df, text, buckets).scalar()
+    one = df.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
+    two = compute_once(one, __h=F.transform(words(F.col("__text")), lambda w: F.xxhash64(w)))
+    three = compute_once(two, __pairs=F.zip_with(*_neighbours("__h"), lambda a, b: F.xxhash64(a, b)))
+    four = compute_once(three, __threes=F.zip_with(*_neighbours("__pairs"), lambda a, b: F.xxhash64(a, b)))
+    add = lambda s, g: s + F.get("__llr", F.pmod(g, F.lit(buckets)).cast("int"))
+    total = F.aggregate("__pairs", F.aggregate("__h", F.lit(0.0), add), add)
+    score = F.coalesce(F.try_divide(total, F.size("__h") + F.size("__pairs")), F.lit(0.0))
+    scored = four.select("*", llr.alias("__llr")).select(
+        *given, "__text", "__threes", F.size("__h").cast("long").alias("__n"), score.alias("__score")
+    )
+    places = F.sort_array(F.transform("__threes", lambda x, i: F.struct(x.alias("hash"), i.alias("place"))))
+    some = F.size(F.array_distinct("__threes")) < F.size("__threes")
+    five = compute_once(
+        scored,
+        __repeat=F.when(some, bound(places, _repeated_words)).otherwise(0).cast("long"),
+        __symbols=_symbols(F.col("__text")),
+        __chars=_word_chars(F.col("__text")),
+        __dup=_dup_lines(F.col("__text")),
+    )
+    failed = (F.col("__n") < MIN_WORDS) | (100 * F.col("__repeat") > REPEAT_PERCENT * F.col("__n"))
+    verdict = F.struct(
+        F.col("__n").alias("n_words"),
+        F.col("__chars").alias("word_chars"),
+        F.col("__symbols").alias("n_symbols"),
+        F.col("__dup").alias("n_dup_lines"),
+        F.col("__repeat").alias("n_repeat_words"),
+        failed.alias("base_failed"),
+        F.col("__score").alias("score"),
+        (~failed & (F.col("__score") >= threshold)).alias("kept"),
+    )
+    return five.select(*given, verdict.alias("__quality"))
 
 
 def quality_table(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
