@@ -21,13 +21,25 @@ from pyspark.sql import DataFrame, functions as F, types as T
 #: zone (1 article, 0 none, -1 surroundings); whether it is main text.
 #: Where a page marks its article, blocks of all sizes are main text in it and none around it.
 _MARKED = [
-    (before, link, words, density, after, 0.0, zone, int(zone > 0))
+    (before, link, words, density, after, link_after, zone, int(zone > 0))
     for zone in (1, -1)
-    for words, density in ((1, 0.0), (2, 1.0), (9, 0.0), (14, 0.5), (30, 0.0), (44, 0.2), (120, 0.0))
-    for before, link in ((0, 0.0), (1, 1.0), (60, 0.0))
-    for after in (1, 60)
+    for words, density in ((1, 0.0), (2, 1.0), (9, 0.0), (14, 0.5), (30, 0.0), (44, 0.2), (120, 0.0), (400, 0.0))
+    for before, link in ((0, 0.0), (1, 1.0), (60, 0.0), (200, 0.0))
+    for after, link_after in ((0, 0.0), (1, 1.0), (60, 0.0), (200, 0.0))
 ]
-LABELLED = _MARKED + [
+#: Elsewhere long blocks with few links are, link lists are not, and short blocks are between long ones.
+_NEXT_TO = ((0, 0.0), (2, 1.0), (60, 0.0))
+_CLEAR = [
+    (*before, words, density, *after, 0, label)
+    for before in _NEXT_TO
+    for after in _NEXT_TO
+    for words, density, label in (
+        *((n, d, 1) for n in (30, 60, 120) for d in (0.0, 0.2)),
+        *((n, d, 0) for n in (2, 12, 40) for d in (0.7, 1.0)),
+        *((n, 0.0, int(before == after == (60, 0.0))) for n in (3, 7)),
+    )
+]
+LABELLED = _MARKED + _CLEAR + [
     # pages without such marks: long text with few links, or short text between long ones
     (0, 0.0, 45, 0.0, 50, 0.0, 0, 1), (40, 0.0, 60, 0.05, 38, 0.0, 0, 1), (55, 0.0, 18, 0.0, 64, 0.0, 0, 1),
     (60, 0.0, 6, 0.0, 72, 0.0, 0, 1), (35, 0.1, 90, 0.1, 4, 1.0, 0, 1), (2, 1.0, 33, 0.0, 41, 0.0, 0, 1),

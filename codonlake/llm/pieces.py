@@ -90,7 +90,7 @@ class Vocabulary:
 
     def _merged(self, text: str) -> tuple[list[int], tuple[int, int] | None]:
         """BPE of a short text by repeated merging, and the last merge. Characters without a piece are negative."""
-        parts, last = [self.ids.get(c, -ord(c)) for c in text], None
+        parts, last = [self.ids.get(c, -1 - ord(c)) for c in text], None
         words = list(text)
         while True:
             found = [(self.ranks[m], k) for k in range(len(words) - 1) if (m := self.ids.get(words[k] + words[k + 1])) is not None]
@@ -160,7 +160,7 @@ class Encoder:
                 known = allowed.get((left, piece))
                 if known or known is None and self.follows(left, piece):
                     return piece, length
-        return reached.get(word[end - 1], -ord(word[end - 1])), 1
+        return reached.get(word[end - 1], -1 - ord(word[end - 1])), 1
 
     def _scored(self, word: str, end: int, entries: list) -> tuple[int, int, float]:
         """(last piece, its length, score) of the best path to a prefix."""
@@ -174,7 +174,7 @@ class Encoder:
             score = self.v.least if piece is None else self.v.scores[piece]
             total = score + (entries[end - length - 1][2] if end > length else 0.0)
             if best is None or total > best[2]:
-                best = (-ord(word[end - 1]) if piece is None else piece, length, total)
+                best = (-1 - ord(word[end - 1]) if piece is None else piece, length, total)
         return best
 
     def _back(self, word: str, entries: list) -> bytes:
@@ -184,7 +184,7 @@ class Encoder:
             if piece >= 0:
                 ids.append(piece)
             elif self.v.bytes:
-                ids += [self.v.bytes[b] for b in reversed(chr(-piece).encode())]
+                ids += [self.v.bytes[b] for b in reversed(chr(-1 - piece).encode())]
             elif not ids or ids[-1] != self.v.unknown:
                 ids.append(self.v.unknown)
             at -= length
@@ -194,7 +194,7 @@ class Encoder:
         """Of a word with two or more marks, where equal merges may be many: by repeated merging."""
         ids = []
         for piece in self.v._merged(word)[0]:
-            ids += [piece] if piece >= 0 else [self.v.bytes.get(b, self.v.unknown) for b in chr(-piece).encode()]
+            ids += [piece] if piece >= 0 else [self.v.bytes.get(b, self.v.unknown) for b in chr(-1 - piece).encode()]
         return np.array(ids, np.int32).tobytes()
 
     def texts(self, texts: list[str]) -> list[bytes]:
