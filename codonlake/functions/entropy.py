@@ -8,22 +8,19 @@ from pyspark.sql import Column, functions as F
 
 from codonlake.functions.sequence import _col
 
-# Above this length the symbols are found without splitting the string.
-_SPLIT_LIMIT = 1_000_000
-_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ*"
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz*"
 
 
 def _symbols(seq: Column) -> Column:
-    """Distinct symbols of a string, plus unused letters for very long ones.
+    """Distinct symbols of a string.
 
     A chromosome split into one-letter strings would not fit in memory, so
-    there the letters are taken as given and only other symbols are split.
+    letters are taken as given and only other symbols are split off.
     """
-    others = F.regexp_replace(seq, "[A-Z*]+", "")
+    others = F.regexp_replace(seq, "[A-Za-z*]+", "")
     fixed = F.array(*[F.lit(c) for c in _LETTERS])
-    return F.when(
-        F.length(seq) <= _SPLIT_LIMIT, F.array_distinct(F.split(seq, ""))
-    ).when(others == "", fixed).otherwise(F.array_union(fixed, F.split(others, "")))
+    held = F.filter(fixed, lambda c: F.contains(seq, c))
+    return F.when(others == "", held).otherwise(F.concat(held, F.array_distinct(F.split(others, ""))))
 
 
 def shannon_entropy(seq: Column | str, alphabet_size: int | None = None, normalize: bool = False) -> Column:

@@ -16,72 +16,77 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from codonlake.session import stored
 
-ROWS_PER_TASK = 1_000_000
+_INDEX_BITS = 33
 
 
-def _cut(budget: int, rows_per_task: int):
+def _cut(budget: int):
     """Walk the histogram from long to short and note where batches fall.
 
-    Every length gets the batch still open with its free places, the number
-    of the next batch and the rows that a batch of this length holds.
+    Every length gets the number of longer rows, the batch still open with its
+    free places, the number of the next batch and the rows that a batch of this length holds.
     """
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        batch, free = 0, 0
+        batch, free, longer = 0, 0, 0
         for part in parts:
             out = []
             for length, rows in zip(part["length"].tolist(), part["rows"].tolist()):
                 size = max(1, budget // length) if length else rows + free + 1
                 joining = min(free, rows)
                 opened = -(-(rows - joining) // size)
-                out.append((length, batch, joining, batch + 1, size, -(-rows // rows_per_task)))
+                out.append((length, longer, batch, joining, batch + 1, size))
+                longer += rows
                 if opened:
                     batch += opened
                     free = opened * size - (rows - joining)
                 else:
                     free -= joining
-            yield pd.DataFrame(out, columns=["length", "open", "joining", "next", "size", "salts"])
+            yield pd.DataFrame(out, columns=["length", "longer", "open", "joining", "next", "size"])
 
     return cut
 
 
-def token_budget_batches(
-    df: DataFrame, length: str, budget: int, keys: list[str], rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
+def _in_order(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with ``place``, their 0-based place by descending length and keys.
+
+    Range partitions are sorted and stored with each row's index in its partition; the sizes of
+    the partitions before it complete the place. A length shared by very many
+    rows spreads over partitions like any other.
+    """
+    order = [F.desc("length"), *[F.asc(k) for k in keys]]
+    index = F.monotonically_increasing_id()
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_index", index)
+    rows = stored(rows, "rows-in-order").withColumn("_part", F.shiftright("_index", _INDEX_BITS))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each partition
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("n"))
+    offsets = sizes.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
+    place = F.col("_offset") + F.col("_index").bitwiseAND((1 << _INDEX_BITS) - 1)
+    return rows.join(offsets, "_part").select(*keys, "length", place.alias("place"))
+
+
+def token_budget_batches(df: DataFrame, length: str, budget: int, keys: list[str]) -> DataFrame:
     """``(keys, length, batch_id)`` with batches numbered from 1, longest first.
 
-    ``keys`` must identify a row. Keys and lengths are stored first, as they
-    are read for the histogram and again for the ranks. The histogram holds one row per distinct
-    length, and n distinct lengths take at least n^2 / 2 residues, so the one
-    task that cuts it stays small. Ranks within a length are taken in salted
-    parts, which keeps a length shared by very many rows off a single task.
+    ``keys`` must identify a row; rows of one length follow each other by key. The
+    histogram holds one row per distinct length, and n distinct lengths take at
+    least n^2 / 2 residues, so the one task that cuts it stays small.
     """
     if budget <= 0:
         raise ValueError("token budget must be > 0")
-    rows = stored(df.select(*keys, F.col(length).cast("long").alias("length")), "lengths")
+    rows = _in_order(df.select(*keys, F.col(length).cast("long").alias("length")), keys)
     cuts = (
         rows.groupBy("length")
         .agg(F.count("*").alias("rows"))
-        .coalesce(1)
+        .repartition(1)
         .sortWithinPartitions(F.desc("length"))
-        .mapInPandas(
-            _cut(budget, rows_per_task), "length long, open long, joining long, next long, size long, salts long"
-        )
-    )
-    salted = rows.join(cuts, "length").withColumn("salt", F.pmod(F.xxhash64(*keys), F.col("salts")))
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        salted.groupBy("length", "salt")
-        .agg(F.count("*").alias("n"))
-        .withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .select("length", "salt", "offset")
+        .mapInPandas(_cut(budget), "length long, longer long, open long, joining long, next long, size long")
     )
-    rank = F.col("offset") + F.row_number().over(Window.partitionBy("length", "salt").orderBy(*keys)) - 1
-    placed = salted.join(offsets, ["length", "salt"]).withColumn("rank", rank)
-    batch = F.when(F.col("rank") < F.col("joining"), F.col("open")).otherwise(
-        F.col("next") + F.floor((F.col("rank") - F.col("joining")) / F.col("size"))
+    rank = F.col("place") - F.col("longer")
+    batch = F.when(rank < F.col("joining"), F.col("open")).otherwise(
+        F.col("next") + F.floor((rank - F.col("joining")) / F.col("size"))
     )
-    return placed.select(*keys, "length", batch.cast("long").alias("batch_id"))
+    return rows.join(cuts, "length").select(*keys, "length", batch.cast("long").alias("batch_id"))
 
 
 def batch_report(batches: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from codonlake.alphabets import ALPHABET_SIZES
 from codonlake.functions import sequence_entropy
+from codonlake.operators.binding import compute_once
 
 CHUNK_SYMBOLS = 100_000
 
@@ -30,9 +31,8 @@ def level_entropies(features: DataFrame, normalize: bool = False) -> DataFrame:
         "protein_entropy": ("protein_aa", "protein"),
         "three_di_entropy": ("three_di", "three_di"),
     }
-    return features.withColumns(
-        {name: sequence_entropy(seq, ALPHABET_SIZES[level], normalize) for name, (seq, level) in levels.items()}
-    )
+    entropies = {name: sequence_entropy(seq, ALPHABET_SIZES[level], normalize) for name, (seq, level) in levels.items()}
+    return compute_once(features.drop(*levels), **entropies)
 
 
 def alphabet_sizes() -> Column:

@@ -5,19 +5,21 @@ the stop that ends it. Runs cut by the end of the sequence are kept and one or
 two left-over bases are dropped. Coordinates are 1-based, inclusive and counted
 on the strand that is read.
 
-All work happens inside the row of a sequence, so nothing is shuffled however
-many sequences there are. A long sequence is first cut into tiles; every tile
-reports the runs that begin in it, reading past its end where a run does.
+A sequence of one tile is searched inside its row, so nothing is shuffled however
+many sequences there are. A longer one is cut into tiles that Spark deals out;
+every tile reports the runs that begin in it, reading past its end where a run
+does.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codonlake.alphabets import DEFAULT_MIN_NT_LENGTH, DEFAULT_TABLE_ID, stop_codons
 from codonlake.functions import has_start, has_stop, reverse_complement, translate_codons
 
 TILE_BASES = 3_000_000
+MAX_BASES = 2_100_000_000  # a row holds no more
 LOOKUP_TILE_BASES = 100_000
 
 
@@ -50,21 +52,70 @@ def find_orfs(
     min_nt_length: int = DEFAULT_MIN_NT_LENGTH,
     require_start: bool = False,
     tile_bases: int = TILE_BASES,
-    spread_tiles: bool = False,
 ) -> DataFrame:
     """ORFs of ``seqs(seq_id, seq)`` of at least ``min_nt_length`` bases.
 
-    ``orf_id`` counts ORFs within their sequence by strand, frame and start.
-    A sequence longer than a tile gets unique numbers with gaps, because dense
-    ones would need a shuffle. ``spread_tiles`` shuffles the tiles before they
-    are searched, for input of few but very long sequences. ``require_start`` keeps ORFs that have a stop
-    and cuts each back to its first ATG.
+    ``orf_id`` counts ORFs within their sequence by strand, frame and start,
+    whatever the tile size. Sequences of a stream are searched in one piece.
+    ``require_start`` keeps ORFs that have a stop and cuts each back to its
+    first ATG.
     """
     if tile_bases <= 0 or tile_bases % 3:
         raise ValueError("tile_bases must be a positive multiple of 3")
     if min_nt_length < 1:
         raise ValueError("min_nt_length must be positive")
+    if seqs.isStreaming:
+        found = _in_row(_tile_orfs(seqs, table_id, min_nt_length, None))
+    else:
+        short, long = (seqs.where(f"length(seq) {sign} {tile_bases}") for sign in ("<=", ">"))
+        found = _in_row(_tile_orfs(short, table_id, min_nt_length, None)).unionByName(
+            _over_tiles(_tile_orfs(long, table_id, min_nt_length, tile_bases))
+        )
+    orfs = found.selectExpr(
+        "seq_id as parent_id",
+        "concat('orf', number) as orf_id",
+        "cast(orf.at as int) as start",
+        "cast(orf.at as int) + length(orf.nt_sequence) - 1 as end",
+        "orf.strand",
+        "orf.frame",
+        "orf.nt_sequence",
+        f"{table_id} as table_id",
+    )
+    return _from_first_start(orfs, table_id, min_nt_length) if require_start else orfs
+
+
+def _in_row(lists: DataFrame) -> DataFrame:
+    """ORFs numbered by their place in the only list of their sequence."""
+    return lists.selectExpr("seq_id", "posexplode(orfs) as (pos, orf)").selectExpr("seq_id", "pos + 1L as number", "orf")
+
+
+def _over_tiles(lists: DataFrame) -> DataFrame:
+    """ORFs numbered by strand, frame, tile and place: places in a tile plus the counts of all that stands before.
+
+    Only one small row for each tile, strand and frame is shuffled for the counts.
+    """
+    key = ["seq_id", "strand", "frame", "tile"]
+    grouped = lists.selectExpr(
+        "seq_id", "tile", "inline(array(%s))" % ", ".join(
+            f"named_struct('strand', '{s}', 'frame', {f}, 'orfs', filter(orfs, o -> o.strand = '{s}' and o.frame = {f}))"
+            for s in "+-"
+            for f in (1, 2, 3)
+        )
+    )
+    before = Window.partitionBy("seq_id").orderBy("strand", "frame", "tile").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = grouped.select(*key, F.size("orfs").cast("long").alias("n")).select(
+        *key, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
+    )
+    placed = grouped.where("size(orfs) > 0").join(offsets, key)
+    return placed.selectExpr("seq_id", "offset", "posexplode(orfs) as (pos, orf)").selectExpr(
+        "seq_id", "offset + pos + 1 as number", "orf"
+    )
+
 
+def _tile_orfs(seqs: DataFrame, table_id: int, min_nt_length: int, tile_bases: int | None) -> DataFrame:
+    """``(seq_id, tile, orfs)``: the ORFs that begin in each tile, by strand, frame and start; one tile without a size."""
+    n_tiles = f"cast(greatest(1, ceil(length(seq) / {tile_bases})) as int)" if tile_bases else "1"
+    spread, tile_bases = bool(tile_bases), tile_bases or MAX_BASES
     # The larger expressions are SQL text: building them call by call would
     # cost more driver time than a small query takes.
     run = _run_pattern(table_id)
@@ -73,7 +124,7 @@ def find_orfs(
         "seq_id",
         "upper(seq) as plus",
         "reverse(translate(upper(seq), 'ACGT', 'TGCA')) as minus",
-        f"cast(greatest(1, ceil(length(seq) / {tile_bases})) as int) as tiles",
+        f"{n_tiles} as tiles",
     ).selectExpr("seq_id", "plus", "minus", "tiles", "explode(sequence(0, tiles - 1)) as tile")
 
     # Per frame: the bases of this tile; how many of them finish a run that an
@@ -109,25 +160,11 @@ def find_orfs(
         (nt, at) -> named_struct('strand', p.strand, 'frame', p.frame, 'at', at, 'nt_sequence', nt)),
         x -> x.nt_sequence is not null)"""
     cut = tiles.selectExpr("seq_id", "tile", f"{pieces} as pieces")
-    if spread_tiles:
+    if spread:
         cut = cut.repartition("seq_id", "tile")
-    orfs = (
-        cut.selectExpr("seq_id", "tile", f"{searched} as pieces")
-        .selectExpr(
-            "seq_id as parent_id", "tile", f"posexplode(flatten(transform(pieces, p -> {long_runs}))) as (pos, orf)"
-        )
-        .selectExpr(
-            "parent_id",
-            f"concat('orf', cast(tile as bigint) * {2 * tile_bases} + pos + 1) as orf_id",
-            "cast(orf.at as int) as start",
-            "cast(orf.at as int) + length(orf.nt_sequence) - 1 as end",
-            "orf.strand",
-            "orf.frame",
-            "orf.nt_sequence",
-            f"{table_id} as table_id",
-        )
+    return cut.selectExpr("seq_id", "tile", f"{searched} as pieces").selectExpr(
+        "seq_id", "tile", f"flatten(transform(pieces, p -> {long_runs})) as orfs"
     )
-    return _from_first_start(orfs, table_id, min_nt_length) if require_start else orfs
 
 
 def _from_first_start(orfs: DataFrame, table_id: int, min_nt_length: int) -> DataFrame:

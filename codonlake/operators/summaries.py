@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from codonlake.operators.quantiles import exact_quantiles
+
 
 def run_totals(seqs: DataFrame, orfs: DataFrame) -> DataFrame:
     """One row: sequences, ORFs, proteins and matched ORFs."""
@@ -34,25 +36,24 @@ def level_comparison(features: DataFrame) -> DataFrame:
 
 
 def comparison_report(features: DataFrame, level: str = "three_di_entropy") -> DataFrame:
-    """Protein entropy against another level, by annotation."""
-    quartiles = F.percentile("protein_entropy", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    """Protein entropy against another level, by annotation, with exact quartiles."""
+    quartiles = exact_quantiles(features, "in_genbank", "protein_entropy", [0.25, 0.5, 0.75])
+    quartiles = quartiles.withColumnRenamed("in_genbank", "_group")
+    moments = features.groupBy("in_genbank").agg(
+        F.count("*").alias("n"),
+        F.avg("protein_entropy").alias("mean_protein_entropy"),
+        F.avg(level).alias("mean_other_entropy"),
+        F.stddev_samp("protein_entropy").alias("sd_protein_entropy"),
+        F.corr("protein_entropy", level).alias("correlation"),
+    )
     return (
-        features.groupBy("in_genbank")
-        .agg(
-            F.count("*").alias("n"),
-            F.avg("protein_entropy").alias("mean_protein_entropy"),
-            F.avg(level).alias("mean_other_entropy"),
-            F.stddev_samp("protein_entropy").alias("sd_protein_entropy"),
-            F.corr("protein_entropy", level).alias("correlation"),
-            quartiles.alias("q"),
-        )
+        moments.join(quartiles, F.col("in_genbank").eqNullSafe(F.col("_group")), "left")
         .select(
-            "*",
+            *moments.columns,
             F.col("q")[0].alias("q1_protein_entropy"),
             F.col("q")[1].alias("median_protein_entropy"),
             F.col("q")[2].alias("q3_protein_entropy"),
         )
-        .drop("q")
     )
 
 

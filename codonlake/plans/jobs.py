@@ -55,7 +55,7 @@ def feature_table(
     model_name: str = "",
     encoding_size: int = DEFAULT_ENCODING_SIZE,
     compute_entropy: bool = True,
-    n_terminal: int = DEFAULT_C_TERMINAL,
+    c_terminal: int = DEFAULT_C_TERMINAL,
 ) -> DataFrame:
     """Flat features of all ORFs, from sequences to entropies.
 
@@ -64,7 +64,7 @@ def feature_table(
     """
     orfs = orf_table(seqs, table_id, min_aa_length * 3)
     if cds is not None:
-        orfs = match_annotated(orfs, cds, n_terminal)
+        orfs = match_annotated(orfs, cds, c_terminal)
     encoded = encode_proteins(
         derive_proteins(orfs), encoder_factory, encoding_size, model_name=model_name
     )
@@ -166,7 +166,7 @@ def train_by_row(
     **params,
 ) -> Training:
     """Hold out rows for the test, then train on the rest."""
-    split = exact_split(features, test_split, keys, seed, "_test")
+    split = exact_split(features.dropna(subset=["label"]), test_split, keys, seed, "_test")
     train, test = (split.where(c).drop("_test") for c in (~F.col("_test"), F.col("_test")))
     return _train(train, test, keys, model_type, validation_split, seed + 1, model_path, params)
 
@@ -183,7 +183,7 @@ def train_by_group(
     **params,
 ) -> Training:
     """Hold out whole groups, such as result files, for the test."""
-    split = group_split(features, group, train_ratio, seed)
+    split = group_split(features.dropna(subset=["label"]), group, train_ratio, seed)
     train, test = (split.where(F.col("side") == side).drop("side") for side in ("train", "test"))
     return _train(train, test, keys, model_type, validation_split, seed + 1, model_path, params)
 

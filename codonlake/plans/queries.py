@@ -828,13 +828,13 @@ def _model_rows(spark, sf_dir) -> DataFrame:
 @query
 def train_trees_by_source(spark, sf_dir):
     """Boosted trees trained on some sources and tested on the others."""
-    return jobs.train_by_group(_model_rows(spark, sf_dir), "source", KEYS, n_estimators=20).test
+    return jobs.train_by_group(_model_rows(spark, sf_dir), "source", KEYS).test
 
 
 @query
 def train_trees_by_row(spark, sf_dir):
     """Boosted trees with a random tenth held out; per-row predictions."""
-    return jobs.train_by_row(_model_rows(spark, sf_dir), KEYS, n_estimators=20).predictions
+    return jobs.train_by_row(_model_rows(spark, sf_dir), KEYS).predictions
 
 
 @query
@@ -845,7 +845,7 @@ def train_net_by_source(spark, sf_dir):
 @query
 def tree_feature_importance(spark, sf_dir):
     """The ten features that matter most to the trees."""
-    classifier = OrfClassifier("xgboost", n_estimators=20)
+    classifier = OrfClassifier("xgboost")
     classifier.fit(_model_rows(spark, sf_dir), KEYS)
     return classifier.top_features()
 
@@ -855,6 +855,6 @@ def stored_model_scores(spark, sf_dir):
     """A model saved, loaded and applied to all rows."""
     path = scratch_path(spark, "model")
     rows = _model_rows(spark, sf_dir)
-    jobs.train_by_group(rows, "source", KEYS, n_estimators=20, model_path=path)
+    jobs.train_by_group(rows, "source", KEYS, model_path=path)
     scored = jobs.score(rows, path)
     return scored.select(*KEYS, "predicted_label", "prob_not_in_genbank", "prob_in_genbank", "label")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from codonlake.session import stored
+
 LINE_WIDTH = 80
+_PART_FILE = r"/part-\d+-[0-9a-f-]{36}"
 
 
 def _paths(path) -> list[str]:
@@ -35,7 +40,16 @@ def fasta_problems(spark: SparkSession, path) -> DataFrame:
         .groupBy("file")
         .agg(F.min_by(F.regexp_like("value", F.lit(r"^\s*>")), F.struct("block", "at")).alias("ok"))
     )
-    return first.where(~F.col("ok")).select("file", F.lit("sequence before header").alias("problem"))
+    headless = first.where(~F.col("ok")).select("file", F.lit("sequence before header").alias("problem"))
+    # The driver lists the input files in any case. Spark's own sink leaves an
+    # empty part file for an empty table, which is no error.
+    names = [(n,) for n in spark.read.text(_paths(path)).inputFiles() if not re.search(_PART_FILE, n)]
+    name = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    files = spark.createDataFrame(names, "file string").select(name("file").alias("file"))
+    empty = files.join(first.select(name("file").alias("file")), "file", "left_anti").select(
+        "file", F.lit("no sequences").alias("problem")
+    )
+    return headless.unionByName(empty)
 
 
 def read_fasta(spark: SparkSession, path, dedup: bool = True, validate: bool = True) -> DataFrame:
@@ -71,17 +85,18 @@ def read_fasta(spark: SparkSession, path, dedup: bool = True, validate: bool = T
 
 
 def _keep_last(parsed: DataFrame) -> DataFrame:
-    """Last record of every id; only ids that repeat take part in the join.
+    """Last record of every id.
 
-    Repeated ids are found from ids and places alone. The list is normally
-    tiny, so Spark broadcasts it and no sequence is shuffled.
+    Repeated ids are found from ids alone and stored; without any, no record is
+    joined or shuffled. Otherwise only records of repeated ids are gathered,
+    and the last of them is told by places of one and the same scan.
     """
-    repeated = parsed.groupBy("seq_id").agg(F.count("*").alias("n"), F.max("_at").alias("_last")).where("n > 1")
-    return (
-        parsed.join(repeated.select("seq_id", "_last"), "seq_id", "left")
-        .where(F.col("_last").isNull() | (F.col("_last") == F.col("_at")))
-        .select("seq_id", "seq")
-    )
+    repeated = parsed.groupBy("seq_id").agg(F.count("*").alias("n")).where("n > 1").select("seq_id")
+    repeated = stored(repeated, "repeated-ids")
+    if repeated.isEmpty():
+        return parsed.select("seq_id", "seq")
+    last = parsed.join(repeated, "seq_id", "left_semi").groupBy("seq_id").agg(F.max_by("seq", "_at").alias("seq"))
+    return parsed.join(repeated, "seq_id", "left_anti").select("seq_id", "seq").unionByName(last)
 
 
 def fasta_text(seq_id: str = "seq_id", seq: str = "seq", line_width: int = LINE_WIDTH):

@@ -36,10 +36,10 @@ def greedy(lengths, budget):
     return sorted(sorted(b) for b in out)
 
 
-def batches_of(spark, lengths, budget, rows_per_task=1_000_000):
+def batches_of(spark, lengths, budget):
     df = spark.createDataFrame(list(enumerate(lengths)), "id long, n long")
     got = defaultdict(list)
-    for r in batching.token_budget_batches(df, "n", budget, ["id"], rows_per_task).collect():
+    for r in batching.token_budget_batches(df, "n", budget, ["id"]).collect():
         got[r["batch_id"]].append(r["length"])
     assert sorted(got) == list(range(1, len(got) + 1))
     return sorted(sorted(b) for b in got.values())
@@ -63,7 +63,21 @@ RNG = random.Random(5)
 )
 def test_batches_follow_the_rule(spark, lengths, budget):
     assert batches_of(spark, lengths, budget) == greedy(lengths, budget)
-    assert batches_of(spark, lengths, budget, rows_per_task=7) == greedy(lengths, budget)
+
+
+def test_batches_go_by_length_and_key(spark):
+    """The same rows share a batch however many partitions hold them."""
+    rng = random.Random(11)
+    df = spark.createDataFrame([(i, rng.choice([5, 7, 7, 7])) for i in range(3000)], "id long, n long")
+    want = sorted(df.collect(), key=lambda r: (-r["n"], r["id"]))
+    for parts in ("1", "8"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = batching.token_budget_batches(df, "n", 60, ["id"]).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+        order = sorted(got, key=lambda r: (r["batch_id"], -r["length"], r["id"]))
+        assert [r["id"] for r in order] == [r["id"] for r in want]
 
 
 def test_batch_edges(spark):
@@ -220,3 +234,29 @@ def test_classifier_errors():
 def test_untrained(spark, rows):
     with pytest.raises(RuntimeError, match="not trained"):
         OrfClassifier("xgboost").predict(rows)
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    from codonlake.operators.quantiles import exact_quantiles
+
+    rng = random.Random(12)
+    rows = [(g, rng.choice([None, rng.random(), 0.5])) for g in [True, False, None] for _ in range(2000)] + [(True, 2.0)]
+    df = spark.createDataFrame(rows, "g boolean, v double")
+    got = {r["g"]: r["q"] for r in exact_quantiles(df, "g", "v", [0.0, 0.25, 0.5, 0.9, 1.0]).collect()}
+    for g in (True, False, None):
+        values = [v for h, v in rows if h is g and v is not None]
+        assert got[g] == pytest.approx(np.quantile(values, [0.0, 0.25, 0.5, 0.9, 1.0]).tolist())
+
+
+def test_rows_without_label_are_scored_but_not_trained_on(spark):
+    flat = spark.createDataFrame(
+        [("p", f"o{i}", 1.0, 2.0, 3.0, 9, 3, 3, 1, 9, True, 1, True, True, [True, None][i % 2]) for i in range(4)],
+        "parent_id string, orf_id string, dna_entropy double, protein_entropy double, three_di_entropy double, dna_length int,"
+        " protein_length int, three_di_length int, start int, end int, strand_plus boolean, frame int, has_start_codon boolean,"
+        " has_stop_codon boolean, in_genbank boolean",
+    )
+    from codonlake.operators.features import feature_matrix
+
+    assert sorted(str(r["label"]) for r in feature_matrix(flat).collect()) == ["1", "1", "None", "None"]

@@ -17,7 +17,6 @@ from codonlake.functions import (
     subsequence,
     translate_codons,
 )
-from codonlake.functions import entropy as entropy_module
 from codonlake.operators.levels import entropy_from_counts, symbol_counts
 from codonlake.operators.labels import confidence_band, encoding_method, predicted_label
 
@@ -47,9 +46,8 @@ def test_entropy_case_and_normalisation(spark):
     assert one(spark, shannon_entropy("s", normalize=True), s="ATAT") == 1.0
 
 
-def test_entropy_of_long_strings_needs_no_split(spark, monkeypatch):
-    monkeypatch.setattr(entropy_module, "_SPLIT_LIMIT", 3)
-    for text in ("ACGTACGTTT", "ACGT-acgt**", "AAAA", "é1é1zz"):
+def test_entropy_of_all_kinds_of_symbols(spark):
+    for text in ("ACGTACGTTT", "ACGT-acgt**", "AAAA", "é1é1zz", "a b\nc" * 50_000):
         assert one(spark, shannon_entropy("s"), s=text) == pytest.approx(python_entropy(text), abs=1e-12)
 
 
@@ -89,7 +87,7 @@ def test_genetic_codes(spark):
 
 
 def test_tails(spark):
-    assert one(spark, c_terminal("s", 10), s="MKSLLTSLAVVSGF**") == "LTSLAVVSGF"
+    assert one(spark, c_terminal("s", 10), s="MTRWPEHVDLNYIG**") == "PEHVDLNYIG"
     assert one(spark, c_terminal("s", 10), s="MK*") == "MK"
     assert one(spark, c_terminal("s", 0), s="MKSL*") == "MKSL"
     assert one(spark, strip_trailing_stop(F.lit("MK**"))) == "MK*"

@@ -75,8 +75,8 @@ FEATURES             Location/Qualifiers
                      /codon_start=1
                      /product="a protein with a
                      long name"
-                     /translation="MKSLLTSLAVVSGF
-                     LATCVAETKQEQ"
+                     /translation="MTRWPEHVDL
+                     NYIGACFSQKHPWDRT"
      gene            complement(40..58)
                      /locus_tag="g2"
      CDS             complement(join(<4..9,
@@ -85,7 +85,7 @@ FEATURES             Location/Qualifiers
      CDS             join(5..7,AB1234.1:900..1000,12..14)
                      /pseudo
 ORIGIN
-        1 atgaaatccc ttctgacttc cctcgctgtc gtctccggct tcctcgccac ctgcgtggcc
+        1 ggatcctaac gtacatgacc cgatggcctg aacacgtaga tctaaattat attggagctt
 //
 LOCUS       TWO                        9 bp    ds-RNA     linear   VRL 01-JAN-2024
 VERSION     TWO.3
@@ -105,12 +105,37 @@ def test_genbank(spark, tmp_path, suffix):
     assert seqs["TWO.3"] == "ACGTNNACG" and len(seqs["ONE.1"]) == 60 and len(seqs) == 2
     cds = [tuple(r) for r in genbank.read_cds(spark, path).collect()]
     assert cds == [
-        ("ONE.1", 9, 36, "+", "MKSLLTSLAVVSGFLATCVAETKQEQ"),
+        ("ONE.1", 9, 36, "+", "MTRWPEHVDLNYIGACFSQKHPWDRT"),
         ("ONE.1", 3, 30, "-", "MQLL"),
         ("ONE.1", 4, 1000, "+", ""),
     ]
 
 
+def test_last_genbank_record_counts(spark, tmp_path):
+    again = GENBANK + GENBANK.split("//\n")[1].replace("acgtnnacg", "ttttttttt") + "//\n"
+    (tmp_path / "x.gb").write_text(again)
+    seqs = pairs(genbank.read_genbank(spark, tmp_path / "x.gb"))
+    assert len(seqs) == 2 and dict(seqs)["TWO.3"] == "TTTTTTTTT"
+    (tmp_path / "y.gb").write_text(GENBANK + GENBANK)
+    assert genbank.read_cds(spark, tmp_path / "y.gb").count() == 3
+
+
+def test_an_empty_file_among_others_is_an_error(spark, tmp_path):
+    (tmp_path / "a.fa").write_text(">q\nACGT\n")
+    (tmp_path / "b.fa").write_text("")
+    with pytest.raises(ValueError, match="no sequences"):
+        fasta.read_fasta(spark, tmp_path)
+    (tmp_path / "b.fa").write_text("\n \n")
+    with pytest.raises(ValueError, match="no sequences"):
+        fasta.read_fasta(spark, [tmp_path / "a.fa", tmp_path / "b.fa"])
+
+
+def test_unique_ids_shuffle_no_sequence(spark, tmp_path, capsys):
+    (tmp_path / "a.fa").write_text(">q\nACGT\n>r\nAC\n")
+    fasta.read_fasta(spark, tmp_path / "a.fa").explain()
+    assert "Exchange" not in capsys.readouterr().out
+
+
 def test_input_choice(spark, tmp_path):
     (tmp_path / "x.gb").write_text(GENBANK)
     (tmp_path / "x.fa").write_text(">q\nACGT\n")
@@ -125,21 +150,21 @@ def test_input_choice(spark, tmp_path):
 
 def test_orf_fasta(spark, tmp_path):
     text = (
-        ">JQ9-orf14635 [JQ9 frame -3 3 11]\nMK*\n"
-        ">orf1 [JQ9 frame +1 1 6]\nKT\n"
-        ">other-orf1 [JQ9 frame +1 1 6]\nKT\n"
-        ">orf2 [nobody frame +1 1 6]\nKT\n"
-        ">invalid\nKT\n"
-        ">JQ9-orf3 JQ9 frame 1 1 6\nKT\n"
+        ">c77-orf58 [c77 frame -3 3 11]\nMK*\n"
+        ">orf4 [c77 frame +1 1 6]\nKT\n"
+        ">apart-orf4 [c77 frame +1 1 6]\nKT\n"
+        ">orf9 [missing frame +1 1 6]\nKT\n"
+        ">noplace\nKT\n"
+        ">c77-orf6 c77 frame 1 1 6\nKT\n"
     )
     (tmp_path / "orfs.fa").write_text(text)
-    seqs = spark.createDataFrame([("JQ9", "AAAACCGGTTTT")], "seq_id string, seq string")
+    seqs = spark.createDataFrame([("c77", "AAAACCGGTTTT")], "seq_id string, seq string")
     found, rejected = orf_fasta.read_orf_fasta(spark, tmp_path / "orfs.fa", seqs)
     rows = {r["orf_id"]: r for r in found.collect()}
-    minus = rows["orf14635"]
+    minus = rows["orf58"]
     assert (minus["strand"], minus["frame"], minus["start"], minus["end"]) == ("-", 3, 3, 11)
     assert minus["nt_sequence"] == "AAACCGGTTTT"[1:10] and minus["has_start_codon"] and minus["has_stop_codon"]
-    assert rows["orf1"]["nt_sequence"] == "AAAACC" and not rows["orf1"]["has_stop_codon"]
+    assert rows["orf4"]["nt_sequence"] == "AAAACC" and not rows["orf4"]["has_stop_codon"]
     assert sorted(r["problem"] for r in rejected.collect()) == [
         "header form", "header form", "two parents", "unknown parent",
     ]
@@ -249,15 +274,16 @@ def test_write_converts(spark, result_dir, tmp_path):
     assert [(r["input_id"], r["orf_id"]) for r in found] == [("v2", "orf9")]
 
 
-def test_many_features_are_written_in_parts(spark, result_dir):
+def test_one_result_for_each_sequence_unless_parts_are_asked_for(spark, result_dir):
     flat = results.flat_features(results.read_results(spark, result_dir)).where("input_id = 'v2'")
     heads = spark.createDataFrame(
         [("v2", 9, 1.0, {"dna": 4}), ("none", 3, 0.0, {})],
         "input_id string, input_dna_length long, dna_entropy_global double, alphabet_sizes map<string,int>",
     )
-    nested = results.nest_features(flat, heads, max_features_per_row=1)
-    sizes = nested.groupBy("input_id").agg(F.sum(F.size("features")).alias("n")).collect()
-    assert {r["input_id"]: r["n"] for r in sizes} == {"v2": 2, "none": 0}
+    for parts in (1, 50):
+        nested = results.nest_features(flat, heads, parts=parts)
+        sizes = nested.groupBy("input_id").agg(F.sum(F.size("features")).alias("n"), F.count("*").alias("rows")).collect()
+        assert {r["input_id"]: (r["n"], r["rows"]) for r in sizes} == {"v2": (2, min(parts, 2)), "none": (0, 1)}
 
 
 def test_no_results(spark, tmp_path):
