@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -15,13 +16,14 @@ from codonlake.alphabets import (
     DEFAULT_TABLE_ID,
 )
 from codonlake.operators.classifier import OrfClassifier
-from codonlake.operators.encoding import Encoder, constant_encoder, encode_proteins
+from codonlake.operators.encoding import Encoder, constant_encoder, encode_proteins, unencoded
 from codonlake.operators.features import FEATURE_NAMES, feature_matrix
 from codonlake.operators.levels import alphabet_sizes, empty_alphabet_sizes, global_entropy, level_entropies
 from codonlake.operators.matching import match_annotated
 from codonlake.operators.orfs import annotate_orfs, find_orfs
 from codonlake.operators.proteins import derive_proteins, translate_orfs
 from codonlake.operators.splits import exact_split, group_split
+from codonlake.session import stored
 from codonlake.sources.genbank import read_inputs
 from codonlake.sources.reports import report_predictions, write_predictions
 from codonlake.sources.results import flat_features, nest_features, read_results, write_results
@@ -39,6 +41,23 @@ def protein_table(orfs: DataFrame, table_id: int = DEFAULT_TABLE_ID, on_mismatch
     return translate_orfs(orfs, table_id, on_mismatch)
 
 
+def encode_table(
+    proteins: DataFrame,
+    encoder_factory: Callable[[], Encoder] = constant_encoder,
+    encoding_size: int = DEFAULT_ENCODING_SIZE,
+    **options,
+) -> DataFrame:
+    """Encode job over stored proteins or protein FASTA records; fails if a protein stays without an encoding.
+
+    ``options`` go to the encoder step: prompt ``text``, ``model_name``, ``device``, ``batching``.
+    """
+    proteins = stored(proteins, "proteins")
+    encoded = stored(encode_proteins(proteins, encoder_factory, encoding_size, **options), "encoded")
+    if not unencoded(proteins, encoded).isEmpty():
+        raise ValueError("some proteins have no encoding")
+    return encoded
+
+
 def entropy_table(three_di: DataFrame, normalize: bool = False) -> DataFrame:
     """Entropy job over stored structural records."""
     return level_entropies(three_di, normalize).select(
@@ -123,9 +142,16 @@ class Training:
     test: DataFrame
     predictions: DataFrame
     importance: DataFrame | None
+    samples: DataFrame
 
     def write(self, path: str, mode: str = "errorifexists") -> None:
-        """Report as JSON tables: metrics, predictions and importance."""
+        """Report as JSON tables: parameters, samples, metrics, predictions and importance."""
+        spark = self.test.sparkSession
+        text = {k: json.dumps(v) for k, v in self.parameters.items()}
+        spark.createDataFrame(list(text.items()), "name string, value string").coalesce(1).write.mode(mode).json(
+            f"{path}/parameters"
+        )
+        self.samples.write.mode(mode).json(f"{path}/samples")
         self.validation.write.mode(mode).json(f"{path}/training_metrics")
         self.test.write.mode(mode).json(f"{path}/test_metrics")
         self.predictions.write.mode(mode).json(f"{path}/test_predictions")
@@ -133,7 +159,10 @@ class Training:
             self.importance.write.mode(mode).json(f"{path}/feature_importance")
 
 
-def _train(train: DataFrame, test: DataFrame, keys, model_type, validation_split, seed, model_path, params) -> Training:
+def _train(split: DataFrame, groups, keys, model_type, validation_split, seed, model_path, params) -> Training:
+    """Train on one side of ``split`` and test on the other; the matrix with its sides is stored and read from there."""
+    split = stored(split, "split-matrix")
+    train, test = (split.where(F.col("side") == side).drop("side") for side in ("train", "test"))
     classifier = OrfClassifier(model_type, seed, **params)
     validation = classifier.fit(train, keys, validation_split)
     if model_path:
@@ -144,14 +173,17 @@ def _train(train: DataFrame, test: DataFrame, keys, model_type, validation_split
         "random_seed": seed,
         "n_features": len(FEATURE_NAMES),
         "feature_names": FEATURE_NAMES,
+        **params,
     }
+    scored = stored(classifier.predict(test), "test-predictions")
     return Training(
         classifier,
         parameters,
         validation,
-        classifier.evaluate(test),
-        report_predictions(classifier.predict(test)),
+        classifier.metrics(scored),
+        report_predictions(scored),
         classifier.feature_importance(),
+        split.groupBy("side", *groups, "label").agg(F.count("*").alias("n")),
     )
 
 
@@ -167,8 +199,8 @@ def train_by_row(
 ) -> Training:
     """Hold out rows for the test, then train on the rest."""
     split = exact_split(features.dropna(subset=["label"]), test_split, keys, seed, "_test")
-    train, test = (split.where(c).drop("_test") for c in (~F.col("_test"), F.col("_test")))
-    return _train(train, test, keys, model_type, validation_split, seed + 1, model_path, params)
+    split = split.withColumn("side", F.when(F.col("_test"), "test").otherwise("train")).drop("_test")
+    return _train(split, [], keys, model_type, validation_split, seed + 1, model_path, params)
 
 
 def train_by_group(
@@ -184,8 +216,7 @@ def train_by_group(
 ) -> Training:
     """Hold out whole groups, such as result files, for the test."""
     split = group_split(features.dropna(subset=["label"]), group, train_ratio, seed)
-    train, test = (split.where(F.col("side") == side).drop("side") for side in ("train", "test"))
-    return _train(train, test, keys, model_type, validation_split, seed + 1, model_path, params)
+    return _train(split, [group], keys, model_type, validation_split, seed + 1, model_path, params)
 
 
 def score(features: DataFrame, model_path: str, output: str | None = None, threshold: float = 0.5) -> DataFrame:

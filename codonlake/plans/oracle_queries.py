@@ -370,6 +370,28 @@ WITH {ORFS}
 SELECT parent_id AS input_id, '2.0.0' AS schema_version, count(*) FILTER (has_start_codon) AS n_features
 FROM orfs GROUP BY parent_id""",
     "result_files_listed": "SELECT 'unified' AS format, count(*) AS n_results FROM documents",
+    "genbank_run": f"""
+WITH {FEATURES}
+SELECT 'DOC' || parent_id || '.1' AS parent_id, orf_id, "start", "end", strand, in_genbank, aa_length AS protein_length,
+       round(dna_entropy, 6) AS dna_entropy FROM features""",
+    "encoded_without_gaps": f"""
+WITH {FEATURES}
+SELECT 0 AS n_left, count(*) AS n_both, count(*) AS n_alike FROM features WHERE protein_aa <> ''""",
+    "fasta_files_refused": """
+SELECT DISTINCT source, 'sequence before header' AS problem FROM documents WHERE CAST(substr(source, 4) AS INT) % 2 = 1""",
+    "result_files_of_both_forms": f"""
+WITH {FEATURES}
+SELECT 'lists' AS format, FALSE AS gzipped, count(DISTINCT parent_id) AS n_results,
+       count(*) FILTER (has_start_codon) AS n_features FROM features
+UNION ALL
+SELECT 'unified', TRUE, (SELECT count(*) FROM documents), count(*) FROM features""",
+    "stored_model_agrees": f"""
+WITH {FEATURES}
+SELECT count(*) AS n_rows, count(*) AS n_alike, count(*) AS n_sum_one, count(*) AS n_label_follows FROM features""",
+    "training_report": f"""
+WITH {GROUPS}, {FEATURES}
+SELECT side, source, CAST(in_genbank AS BIGINT) AS label, count(*) AS n, TRUE AS sound
+FROM features JOIN documents ON parent_id = CAST(doc_id AS VARCHAR) JOIN sides USING (source) GROUP BY ALL""",
     "full_run": f"""
 WITH {FEATURES}
 SELECT parent_id, orf_id, "start", "end", strand, in_genbank, aa_length, round(dna_entropy, 6) AS dna_entropy,

@@ -19,7 +19,7 @@ from codonlake.functions import (
 from codonlake.operators import assemble, batching, labels, levels, metrics, splits, summaries, validation
 from codonlake.operators.binding import compute_once
 from codonlake.operators.classifier import OrfClassifier
-from codonlake.operators.encoding import encode_proteins
+from codonlake.operators.encoding import encode_proteins, unencoded
 from codonlake.operators.features import feature_matrix, incomplete
 from codonlake.operators.matching import match_annotated
 from codonlake.operators.orfs import (
@@ -798,6 +798,61 @@ def result_files_listed(spark, sf_dir):
     return per_file.groupBy("format").agg(F.sum("n").alias("n_results"))
 
 
+@query
+def result_files_of_both_forms(spark, sf_dir):
+    """Both forms, gzipped and plain, read at once from a list of files."""
+    path = scratch_path(spark, "list-results")
+    _list_results(spark, sf_dir).write.json(path)
+    files = [f for folder in (_result_files(spark, sf_dir), path) for f in spark.read.text(folder).inputFiles()]
+    read = stored(results.read_results(spark, files, json_lines=True), "both-forms")
+    n_files = results.source_files(read)
+    gzipped = F.endswith("source_file", F.lit(".gz"))
+    per_file = read.groupBy("source_file", "format").agg(F.count("*").alias("n"))
+    counts = per_file.join(n_files, "source_file").groupBy("format", gzipped.alias("gzipped")).agg(F.sum("n").alias("n_results"))
+    features_of = results.flat_features(read).groupBy(gzipped.alias("gz")).agg(F.count("*").alias("n_features"))
+    return counts.join(features_of, F.col("gzipped") == F.col("gz")).drop("gz")
+
+
+@query
+def fasta_files_refused(spark, sf_dir):
+    """Files by source, every other one without headers: those are reported."""
+    path = scratch_path(spark, "fasta-by-source")
+    docs = d.sequences(spark, sf_dir).join(
+        d.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("seq_id"), "source"), "seq_id"
+    )
+    odd = F.substring("source", 4, 9).cast("int") % 2 == 1
+    text = F.when(odd, F.col("seq")).otherwise(fasta.fasta_text())
+    docs.repartition("source").select("source", text.alias("value")).write.partitionBy("source").text(path)
+    found = fasta.fasta_problems(spark, path)
+    return found.select(F.regexp_extract("file", "source=([^/]+)", 1).alias("source"), "problem").distinct()
+
+
+@query
+def encoded_without_gaps(spark, sf_dir):
+    """The encode job from a table and from FASTA: the same strings, and no protein left out."""
+    proteins = d.proteins(spark, sf_dir)
+    path = scratch_path(spark, "faa")
+    name = F.concat_ws("/", *KEYS).alias("seq_id")
+    fasta.write_fasta(proteins.where("protein_aa <> ''").select(name, F.col("protein_aa").alias("seq")), path)
+    from_table = jobs.encode_table(proteins, d.stand_in_encoder, batching="global")
+    from_fasta = jobs.encode_table(fasta.read_protein_fasta(spark, path), d.stand_in_encoder)
+    left = unencoded(proteins, from_table).agg(F.count("*").alias("n_left"))
+    alike = from_table.select(name, "three_di").join(from_fasta.select(F.col("orf_id").alias("seq_id"), F.col("three_di").alias("other")), "seq_id")
+    counts = alike.agg(F.count("*").alias("n_both"), F.count_if(F.col("three_di") == F.col("other")).alias("n_alike"))
+    one = F.lit(1).alias("_one")
+    return left.select("*", one).join(counts.select("*", one), "_one").drop("_one")
+
+
+@query
+def genbank_run(spark, sf_dir):
+    """The full run from GenBank files alone, and its nested results."""
+    path = scratch_path(spark, "genbank-run")
+    _, nested = jobs.run(spark, path, genbank=_genbank_text(spark, sf_dir), encoder_factory=d.stand_in_encoder)
+    return results.flat_features(nested).select(
+        *KEYS, "start", "end", "strand", "in_genbank", "protein_length", r6("dna_entropy").alias("dna_entropy")
+    )
+
+
 @query
 def full_run(spark, sf_dir):
     """From FASTA and GenBank files to stored features and results."""
@@ -831,6 +886,43 @@ def train_trees_by_source(spark, sf_dir):
     return jobs.train_by_group(_model_rows(spark, sf_dir), "source", KEYS).test
 
 
+@query
+def stored_model_agrees(spark, sf_dir):
+    """A model scores alike before and after it is stored; probabilities and labels are sound on every row."""
+    path = scratch_path(spark, "model")
+    rows = _model_rows(spark, sf_dir)
+    fresh = jobs.train_by_group(rows, "source", KEYS, model_path=path).classifier.predict(rows)
+    p, q = F.col("prob_in_genbank"), F.col("prob_not_in_genbank")
+    again = jobs.score(rows, path).select(*KEYS, p.alias("p_again"))
+    both = fresh.select(*KEYS, p, q, "predicted_label").join(again, KEYS)
+    return both.agg(
+        F.count("*").alias("n_rows"),
+        F.count_if(p == F.col("p_again")).alias("n_alike"),
+        F.count_if(F.abs(p + q - 1) < 1e-9).alias("n_sum_one"),
+        F.count_if(F.col("predicted_label") == (p > 0.5).cast("int")).alias("n_label_follows"),
+    )
+
+
+@query
+def training_report(spark, sf_dir):
+    """The report of a training, written and read back: samples by source, and that its tables agree."""
+    path = scratch_path(spark, "report")
+    jobs.train_by_group(_model_rows(spark, sf_dir), "source", KEYS).write(path)
+    read = lambda name: spark.read.json(f"{path}/{name}")
+    samples, test = read("samples"), read("test_metrics").first()
+    n_test = samples.where("side = 'test'").agg(F.sum("n")).first()[0]
+    counted = sum(test[c] for c in ("true_positives", "true_negatives", "false_positives", "false_negatives"))
+    importance = read("feature_importance").agg(F.count("*"), F.sum("importance")).first()
+    names = {r["name"] for r in read("parameters").collect()}
+    sound = (
+        n_test == counted == read("test_predictions").count()
+        and importance[0] == 12
+        and abs(importance[1] - 1) < 1e-6
+        and {"model_type", "random_seed", "validation_split", "n_features"} <= names
+    )
+    return samples.select("side", "source", big("label").alias("label"), "n", F.lit(bool(sound)).alias("sound"))
+
+
 @query
 def train_trees_by_row(spark, sf_dir):
     """Boosted trees with a random tenth held out; per-row predictions."""
