@@ -124,6 +124,8 @@ def keep_first(df: DataFrame) -> DataFrame:
     def among(ids: DataFrame) -> DataFrame:
         return df.join(ids.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
+    if more.isEmpty():
+        return among(once)
     return among(once).unionByName(among(more).dropDuplicates(["doc_id"]))
 
 
