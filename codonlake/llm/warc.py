@@ -18,8 +18,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from codonlake.llm.words import bound
 from codonlake.operators.binding import compute_once
-from codonlake.session import scratch_path
+from codonlake.session import scratch_path, stored
 
 DATE = "2024-01-01T00:00:00Z"
 #: Fixed values of the format.
@@ -40,12 +41,15 @@ _FIELDS = {
 
 def base32_sha1(payload: Column) -> Column:
     """Bare upper-case base32 of the SHA-1 of a binary column."""
-    digest = F.sha1(payload)
-    letters = []
-    for k in range(8):
-        bits = F.conv(F.substring(digest, 5 * k + 1, 5), 16, 10).cast("int")
-        letters += [F.substring(F.lit(_BASE32), F.shiftright(bits, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
-    return F.concat(*letters)
+
+    def letters(digest: Column) -> Column:
+        out = []
+        for k in range(8):
+            bits = F.conv(F.substring(digest, 5 * k + 1, 5), 16, 10).cast("int")
+            out += [F.substring(F.lit(_BASE32), F.shiftright(bits, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
+        return F.concat(*out)
+
+    return bound(F.sha1(payload), letters)
 
 
 def _record_id(key: Column) -> Column:
@@ -105,29 +109,45 @@ def write_archives(rows: DataFrame, path: str) -> None:
     rows.write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Records of archives: header fields, ``payload`` and its bytes.
+def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """Records of archives: header fields, size and digest of the block as read, and the ``payload`` if wanted.
 
-    Archives may come from elsewhere if they are UTF-8; fields they lack are null.
+    Archives may come from elsewhere if they are UTF-8; fields they lack are
+    null. Without payloads the archives are read once.
     """
     mark = f"{END}{VERSION}\r\n"
+    first = f"{VERSION}\r\n"
     lines = spark.read.option("lineSep", mark).text(path).withColumn("file", F.col("_metadata.file_path"))
-    whole = F.regexp_replace("value", rf"^{re.escape(VERSION)}\r\n", "")
-    cut = compute_once(lines.select("file", whole.alias("record")), at=F.locate(END, F.col("record")))
-    head = F.substring("record", F.lit(1), F.col("at") - 1)
-    block = F.encode(F.col("record").substr(F.col("at") + len(END), F.length("record")), "UTF-8")
+    whole = F.when(F.startswith("value", F.lit(first)), F.substring("value", F.lit(len(first) + 1), F.length("value")))
+    cut = lines.select("file", F.coalesce(whole, "value").cast("binary").alias("record"))
+    head_bytes = F.octet_length(F.substring_index(F.col("record").cast("string"), END, 1))
+    cut = compute_once(cut, at=head_bytes + 1)
+    head = F.substring("record", F.lit(1), F.col("at") - 1).cast("string")
+    block = F.substring("record", F.col("at") + len(END), F.octet_length("record"))
     parsed = _fields(cut.select("file", head.alias("head"), block.alias("block")))
     fits = F.octet_length("block") - F.col("length")
-    whole_files = [
-        r[0] for r in parsed.filter(fits.isNull() | ~fits.isin(0, len(END))).select("file").distinct().collect()
-    ]  # rare, and at most as many as the list of archives that the driver holds
+    parsed = parsed.withColumns(
+        {"fits": F.coalesce(fits.isin(0, len(END)), F.lit(False)), "block": F.substring("block", F.lit(1), F.col("length").cast("int"))}
+    )
+    if not payloads:
+        parsed = stored(_measured(parsed).drop("block", "head"), "archive-headers")
+    misfits = parsed.filter(~F.col("fits")).select("file").distinct().collect()
+    whole_files = [r[0] for r in misfits]  # rare, and at most as many as the list of archives that the driver holds
     good = parsed.filter(~F.col("file").isin(whole_files)) if whole_files else parsed
-    good = good.withColumn("payload", F.decode(F.substring("block", F.lit(1), F.col("length").cast("int")), "UTF-8"))
+    good = _measured(good) if payloads else good
     if whole_files:
         rows = spark.read.format("binaryFile").load(whole_files).select(F.col("path").alias("file"), "content")
-        again = _fields(rows.mapInPandas(_walk, "file string, head string, block binary"))
-        good = good.unionByName(again.withColumn("payload", F.decode("block", "UTF-8")))
-    return good.drop("head", "block", "file", "length")
+        again = _measured(_fields(rows.mapInPandas(_walk, "file string, head string, block binary")))
+        good = good.unionByName(again if payloads else again.drop("block", "head"), allowMissingColumns=True)
+    if payloads:
+        good = good.withColumn("payload", F.decode("block", "UTF-8"))
+    return good.drop("head", "block", "file", "length", "fits")
+
+
+def _measured(records: DataFrame) -> DataFrame:
+    return records.withColumns(
+        {"block_bytes": F.octet_length("block").cast("long"), "block_digest": base32_sha1(F.col("block"))}
+    )
 
 
 def _fields(rows: DataFrame) -> DataFrame:
@@ -161,16 +181,16 @@ def resolved(archive: DataFrame) -> DataFrame:
 
     The digest of a response is that of the payload as read.
     """
-    binary = F.encode("payload", "UTF-8")
-    key = F.col("page_key").cast("long")
+    key = F.col("page_key").cast("long").alias("page_id")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     own = archive.filter("record_type = 'response'").select(
-        key.alias("page_id"), "record_id", F.octet_length(binary).cast("long").alias("payload_bytes"), base32_sha1(binary).alias("payload_digest")
+        key, "record_id", F.col("block_bytes").alias("payload_bytes"), F.col("block_digest").alias("payload_digest")
     )
-    found = own.groupBy("record_id").agg(
+    again = archive.filter("record_type = 'revisit'").select(key, F.col("refers_to_id").alias("record_id"))
+    wanted = again.select("record_id").distinct()
+    found = own.join(wanted, "record_id", "left_semi").groupBy("record_id").agg(
         F.max("page_id").alias("refers_to"), F.max("payload_bytes").alias("payload_bytes"), F.max("payload_digest").alias("payload_digest")
     )
-    again = archive.filter("record_type = 'revisit'").select(key.alias("page_id"), F.col("refers_to_id").alias("record_id"))
-    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     revisits = again.join(found, "record_id", "left").withColumn("record_type", F.lit("revisit")).select(*columns)
     responses = own.withColumns({"record_type": F.lit("response"), "refers_to": F.lit(None).cast("long")}).select(*columns)
     return responses.unionByName(revisits)
@@ -180,4 +200,4 @@ def archive_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Write deduplicated archives of ``pages`` to the shared folder, and resolve them as read back."""
     path = scratch_path(pages.sparkSession, "warc")
     write_archives(records(pages, min_bytes), path)
-    return resolved(read_archives(pages.sparkSession, path))
+    return resolved(read_archives(pages.sparkSession, path, payloads=False))

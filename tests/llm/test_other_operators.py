@@ -29,7 +29,7 @@ PAGES = [
     (2, None, None),
     (3, "http://a/\r\nX: y", ""),
     (4, "u", "two\r\n\r\nparts\r\n\r\n"),
-    (5, "u", "é" * 5000),
+    (5, "http://ü/é", "é" * 5000),
     (6, "u", "<p>one</p>"),
     (None, "u", "<p>one</p>"),
     (8, "u", "WARC/1.1\r\nWARC-Type: response\r\n\r\n"),
@@ -53,6 +53,15 @@ def test_archives_round_trip(spark, extra):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
+def test_payloads_come_back(spark):
+    rows = PAGES + [(9, "u", "in\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = scratch_path(spark, "payloads")
+    warc.write_archives(warc.records(df), path)
+    got = {r["page_key"]: r["payload"] for r in warc.read_archives(spark, path).filter("record_type = 'response'").collect()}
+    assert got == {str(i): h or "" for i, _, h in rows if i in (3, 4, 5, 6, 8, 9)}
+
+
 def test_small_payloads_are_no_revisits(spark):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     got = warc.archive_round_trip(df, min_bytes=11).collect()
