@@ -10,10 +10,11 @@ A byte goes if a string of ``LENGTH`` bytes that covers it starts anywhere else.
 2. Their contexts (the core, and up to ``REACH`` bytes on either side, in which all strings
    led by the anchor lie) are counted by a 128-bit digest of the bytes. A context
    that occurs twice is repeated as a whole, and hot ones shrink to one row.
-3. Contexts with one core meet in a task. For each distance to the anchor, their
-   suffixes are merge-sorted; a comparison finds the common extension by binary
-   search on prefix polynomial hashes, so it takes a logarithmic number of steps.
-   Neighbours that share ``LENGTH`` bytes are verified byte by byte. Cores with more
+3. Contexts with one core meet in a task. The suffixes that follow the core and
+   the prefixes before it, backwards, are merge-sorted; a comparison finds the
+   common extension by binary search on prefix polynomial hashes, so it takes a
+   logarithmic number of steps. Two contexts share a string if they lie in one run of long enough
+   extensions in both orders; the bytes are then compared. Cores with more
    than ``MAX_CONTEXTS`` contexts go another exact way: their strings are counted
    by digest, which Spark adds up before it shuffles.
 4. What a context has repeated goes back to the places where it occurs.
@@ -171,26 +172,26 @@ def removed_spans(places: np.ndarray, before: np.ndarray, after: np.ndarray) ->
     return list(zip(starts[cut].tolist(), ends[np.append(cut[1:] - 1, len(ends) - 1)].tolist()))
 
 
-def sorted_suffixes(hashes: Hashes, start: np.ndarray, segment: np.ndarray) -> np.ndarray:
-    """Order of suffixes, by segment and then by their first ``LENGTH`` bytes. ``segment`` is rising.
+def sorted_suffixes(hashes: Hashes, start: np.ndarray, size: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of strings, by segment and then by their bytes, and what each shares with the one before it.
 
-    Bottom-up merge sort of all segments at once: an element's place in a
-    merged pair of runs is its place in its own run plus its rank in the other.
+    Strings begin at ``start`` and have ``size`` bytes; ``segment`` is rising. Bottom-up
+    merge sort of all segments at once: an element's place in a merged pair of
+    runs is its place in its own run plus its rank in the other.
     """
     first = np.searchsorted(segment, segment, "left")
-    size = np.searchsorted(segment, segment, "right") - first
+    members = np.searchsorted(segment, segment, "right") - first
     order, width = np.arange(len(start)), 1
     index = order - first
-    while (size > width).any():
+    while (members > width).any():
         run = index // width
-        low = first + np.minimum((run ^ 1) * width, size)
-        high = first + np.minimum((run ^ 1) * width + width, size)
+        low = first + np.minimum((run ^ 1) * width, members)
+        high = first + np.minimum((run ^ 1) * width + width, members)
         begin, own = low.copy(), np.flatnonzero(high > low)
         while len(own):
             middle = (low[own] + high[own]) // 2
-            mine, other = start[order[own]], start[order[middle]]
-            order_of = _compared(hashes, mine, other)
-            after = np.where(run[own] & 1, order_of >= 0, order_of > 0)
+            sign = _compared(hashes, start, size, order[own], order[middle])[0]
+            after = np.where(run[own] & 1, sign >= 0, sign > 0)
             low[own] = np.where(after, middle + 1, low[own])
             high[own] = np.where(after, high[own], middle)
             own = own[low[own] < high[own]]
@@ -198,72 +199,74 @@ def sorted_suffixes(hashes: Hashes, start: np.ndarray, segment: np.ndarray) -> n
         merged = np.empty_like(order)
         merged[target] = order
         order, width = merged, 2 * width
-    return order
-
-
-def _compared(hashes: Hashes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sign of the comparison of strings of ``LENGTH`` bytes at two positions, by binary search for their common extension."""
-    low, high = np.zeros(len(a), np.int64), np.full(len(a), LENGTH, np.int64)
-    equal = hashes.of(a, LENGTH) == hashes.of(b, LENGTH)
-    low[equal], high[~equal], open_ones = LENGTH, LENGTH - 1, np.flatnonzero(~equal)
-    while len(open_ones):
-        i = open_ones
+    shared = np.full(len(order), -1, np.int64)
+    inner = np.flatnonzero(segment[1:] == segment[:-1]) + 1
+    shared[inner] = _compared(hashes, start, size, order[inner - 1], order[inner])[1]
+    return order, shared
+
+
+def _compared(hashes: Hashes, start: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sign of the comparison of strings, and their common extension by binary search; a string's end comes before any byte."""
+    most = np.minimum(size[a], size[b])
+    low, high = np.zeros(len(a), np.int64), most.copy()
+    i = np.flatnonzero(high > 0)
+    while len(i):
         middle = (low[i] + high[i] + 1) // 2
-        same = hashes.of(a[i], middle) == hashes.of(b[i], middle)
+        same = hashes.of(start[a[i]], middle) == hashes.of(start[b[i]], middle)
         low[i] = np.where(same, middle, low[i])
         high[i] = np.where(same, high[i], middle - 1)
-        open_ones = i[low[i] < high[i]]
-    apart = low < LENGTH
-    out = np.zeros(len(a), np.int64)
-    at = low[apart]
-    out[apart] = np.sign(hashes.data[a[apart] + at].astype(np.int64) - hashes.data[b[apart] + at].astype(np.int64))
-    return out
+        i = i[low[i] < high[i]]
+    sign = np.sign(size[a] - size[b])
+    i = np.flatnonzero(low < most)
+    byte = lambda x: hashes.data[start[x[i]] + low[i]].astype(np.int64)
+    sign[i] = np.sign(byte(a) - byte(b))
+    return sign, low
 
 
 def repeated_in(groups: np.ndarray, contexts: list[bytes], left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Longest and shortest distance to its anchor at which a context's string also stands in another of its group.
 
-    ``groups`` is rising; -1 stands for none.
+    ``groups`` is rising; -1 stands for none. What follows the cores is sorted,
+    and what precedes them, read backwards. Strings at a distance d are equal if
+    their contexts share d bytes before and ``REACH - d`` bytes after the core: in either order
+    such contexts are neighbours, in a run of common extensions that long.
     """
-    sizes = np.array([len(c) for c in contexts], np.int64)
-    offsets = np.cumsum(sizes) - sizes
-    hashes = Hashes(np.frombuffer(b"".join(contexts), np.uint8))
     left = left.astype(np.int64)
-    shortest = np.maximum(0, left + LENGTH - sizes)
-    counts = np.maximum(0, left - shortest + 1)
-    member = np.repeat(np.arange(len(contexts)), counts)
-    distance = shortest[member] + np.arange(len(member)) - np.repeat(np.cumsum(counts) - counts, counts)
-    order = np.lexsort((member, distance, groups[member]))
-    member, distance = member[order], distance[order]
-    changed = (np.diff(groups[member]) != 0) | (np.diff(distance) != 0)
-    segment = np.concatenate([[0], np.cumsum(changed)]) if len(member) else np.zeros(0, np.int64)
-    start = offsets[member] + left[member] - distance
-    order = sorted_suffixes(hashes, start, segment)
-    a, b = order[:-1], order[1:]
-    same = segment[a] == segment[b]
-    same[same] = hashes.of(start[a[same]], LENGTH) == hashes.of(start[b[same]], LENGTH)
-    a, b = a[same], b[same]
-    _verify(hashes.data, start, member, distance, a, b)
-    longest, least = np.full(len(contexts), -1), np.full(len(contexts), LENGTH)
-    for e in (a, b):
-        np.maximum.at(longest, member[e], distance[e])
-        np.minimum.at(least, member[e], distance[e])
-    return longest, np.where(longest < 0, -1, least)
-
-
-def _verify(data: np.ndarray, start: np.ndarray, member: np.ndarray, distance: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Compare the bytes of strings found equal; strings of one pair of contexts overlap and are compared once."""
-    if not len(a):
-        return
-    order = np.lexsort((distance[a], member[b], member[a]))
-    a, b = a[order], b[order]
-    new = np.concatenate([[True], (np.diff(member[a]) != 0) | (np.diff(member[b]) != 0) | (np.diff(distance[a]) > LENGTH)])
-    firsts = np.flatnonzero(new)
-    lasts = np.append(firsts[1:] - 1, len(a) - 1)
-    raw = data.tobytes()
-    for x, y, n in zip(start[a[lasts]], start[b[lasts]], distance[a[lasts]] - distance[a[firsts]] + LENGTH):
-        if raw[x : x + n] != raw[y : y + n]:
-            raise ArithmeticError("two strings share a hash; change the base of the polynomial")
+    sizes = np.array([len(c) for c in contexts], np.int64)
+    core = LENGTH - REACH
+    both = [b"".join(c[n + core :] for c, n in zip(contexts, left)), b"".join(c[:n][::-1] for c, n in zip(contexts, left))]
+    sides = []
+    for text, size in zip(both, (sizes - left - core, left)):
+        hashes = Hashes(np.frombuffer(text, np.uint8))
+        sides.append(sorted_suffixes(hashes, np.cumsum(size) - size, size, groups))
+    longest, shortest = np.full((2, len(contexts)), -1)
+    partner = np.zeros((2, len(contexts)), np.int64)
+    for distance in range(REACH):
+        run = []
+        for (order, shared), length in zip(sides, (REACH - distance, distance)):
+            runs = np.empty(len(order), np.int64)
+            runs[order] = np.cumsum(shared < length)
+            run.append(runs)
+        key = run[0] * (len(contexts) + 1) + run[1]
+        order = np.argsort(key, kind="stable")
+        equal = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+        # in a run of one context nothing is shared, so two with one key are both long enough
+        for x, y in ((order[equal], order[equal + 1]), (order[equal + 1], order[equal])):
+            longest[x], partner[0, x] = distance, y
+            new = shortest[x] < 0
+            shortest[x[new]], partner[1, x[new]] = distance, y[new]
+    _verify(contexts, left, (longest, shortest), partner)
+    return longest, shortest
+
+
+def _verify(contexts: list[bytes], left: np.ndarray, distances: tuple, partner: np.ndarray) -> None:
+    """Compare the bytes of the outermost strings found equal."""
+    for found, other in zip(distances, partner):
+        for i in np.flatnonzero(found >= 0).tolist():
+            j, d = int(other[i]), int(found[i])
+            a, b = int(left[i]) - d, int(left[j]) - d
+            if contexts[i][a : a + LENGTH] != contexts[j][b : b + LENGTH]:
+                raise ArithmeticError("two strings share a hash; change the base of the polynomial")
 
 
 def _sorted_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
