@@ -65,7 +65,7 @@ def log_ratios(df: DataFrame, text: str = "text", buckets: int = BUCKETS) -> Dat
     """One row: ``llr``, the log ratio of target to raw frequency of each bucket, each count raised by one.
 
     The trusted target is every document of at least ``MIN_WORDS`` words without
-    repeated lines and with few symbols.
+    repeated lines and with few symbols. Without any, all ratios are 0.
     """
     given = df.select(F.coalesce(F.col(text), F.lit("")).alias("t"))
     split = compute_once(given, w=words(F.col("t")))
@@ -91,9 +91,10 @@ def log_ratios(df: DataFrame, text: str = "text", buckets: int = BUCKETS) -> Dat
         F.sum("raw").alias("all_raw"),
         F.sum("target").alias("all_target"),
     )
-    ratio = lambda c: F.log((c["target"] + 1) / (F.col("all_target") + buckets)) - F.log(
-        (c["raw"] + 1) / (F.col("all_raw") + buckets)
-    )
+    ratio = lambda c: F.when(
+        F.col("all_target") > 0,
+        F.log((c["target"] + 1) / (F.col("all_target") + buckets)) - F.log((c["raw"] + 1) / (F.col("all_raw") + buckets)),
+    ).otherwise(0.0)
     return row.select(F.transform("cells", ratio).alias("llr"))
 
 
