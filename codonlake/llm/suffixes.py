@@ -33,7 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from codonlake.session import stored
+from codonlake.session import scratch_path, stored
 
 LENGTH = 400
 REACH = 128
@@ -55,6 +55,13 @@ def _powers(base: int, n: int) -> np.ndarray:
     return _known[base]
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """A stored table that holds texts, packed more tightly than others."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 class Hashes:
     """Prefix polynomial hashes of a byte array; equal strings have equal hashes, in whatever array they stand."""
 
@@ -386,7 +393,7 @@ def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     joined = docs.join(named, same, "left").drop("__id", "__version")
     untouched = F.col("places").isNull()
     # documents that nothing can be cut from are done here
-    split = stored(
+    split = _kept(
         joined.select(
             "id",
             "version",
@@ -398,7 +405,7 @@ def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", m
         "documents-with-anchors",
     )
     open_ones = split.filter(~untouched)
-    contexts = stored(
+    contexts = _kept(
         open_ones.select("id", "version", "text", "places").mapInArrow(
             _contexts,
             f"core long, key binary, context binary, left int, id {dict(docs.dtypes)['id']}, version int, place int",
@@ -406,7 +413,7 @@ def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", m
         "contexts",
     )
     counts = contexts.groupBy("core", "key").agg(F.count("*").alias("n"), F.first("context").alias("context"), F.first("left").alias("left"))
-    found = stored(repeated_contexts(stored(counts, "distinct-contexts"), max_contexts), "repeated-contexts")
+    found = stored(repeated_contexts(_kept(counts, "distinct-contexts"), max_contexts), "repeated-contexts")
     spans = (
         contexts.select("core", "key", "id", "version", "place")
         .join(found, ["core", "key"])
