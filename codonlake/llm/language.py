@@ -27,8 +27,8 @@ from codonlake.session import stored
 
 UNKNOWN = "und"
 SYMBOLS = 127
-CELLS = 1 << 24
-GRAMS = 1 << 19
+CELLS = 1 << 22
+GRAMS = 1 << 18
 _HELD = 1 << 22
 _AT_ONCE = 1 << 21
 _LETTER = re.compile(r"[^\W\d_]")
