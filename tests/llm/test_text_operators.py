@@ -104,6 +104,19 @@ def test_quality_without_a_trusted_target(spark):
     assert [(r["score"], r["kept"]) for r in quality.quality_table(frame(spark, texts)).collect()] == [(0.0, True)] * 3
 
 
+def test_quality_cut_lies_between_prose_and_symbols(spark):
+    rng = random.Random(8)
+    known = prose(1, 40).split()
+    text = lambda n: " ".join(rng.choice(known) for _ in range(n))
+    good = [text(60 + k) for k in range(200)]
+    junk = [" ".join(w + c * 3 if rng.random() < 0.2 else w for w in text(70 + k).split() for c in [rng.choice("#$%&")]) for k in range(40)]
+    got = {r["doc_id"]: r for r in quality.quality_table(frame(spark, good + junk)).collect()}
+    assert all(got[k]["kept"] for k in range(200))
+    assert not any(got[k]["kept"] or got[k]["base_failed"] for k in range(200, 240))
+    assert max(got[k]["score"] for k in range(200, 240)) > -0.5
+    assert {r["doc_id"] for r in quality.keep_good(frame(spark, good + junk)).collect()} == set(range(200))
+
+
 def test_secret_base_spans(spark):
     assign = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     got = {r["doc_id"]: r for r in secrets.secret_table(frame(spark, ODD)).collect()}
