@@ -53,6 +53,7 @@ LABELLED = _MARKED + _CLEAR + [
 _RAW = "script|style|textarea|noscript|template|iframe|object|svg|math|select|button|title|canvas|audio|video"
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)"
+    rf"|<(?:svg|math)\b(?:[^>\"'/]++|\"[^\"]*+\"|'[^']*+'|/(?!>))*+/>"
     rf"|<(?P<raw>{_RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     rf"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     rf"|</?[a-z][^>]*+(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)",
@@ -67,22 +68,31 @@ _ARTICLE = {"article", "main"}
 _AROUND = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset", "head"}
 _CONTAINERS = _ARTICLE | _AROUND | {"div", "section", "ul", "ol", "dl", "table", "p", "li", "blockquote", "figure", "details"}
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
-_AROUND_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promos?|banners?|nav|navbar|navigation|menus?"
+_AROUND_WORD = (
+    r"(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promos?|banners?|nav|navbar|navigation|menus?"
     r"|breadcrumbs?|sidebars?|footers?|headers?|masthead|cookies?|notices?|consent|popups?|newsletters?|subscribe"
     r"|comments?|replies|respond|related|share|sharing|social|widgets?|toolbar|pagination|pager|alert|complementary"
-    r"|contentinfo)(?:$|[\s_-]|\d)",
-    re.IGNORECASE,
+    r"|contentinfo)"
+)
+#: Parts that leave a compound name what its other part says: ``site-footer`` and ``comment-list``, but not ``entry-header``.
+_PLACE = (
+    r"(?:site|main|global|top|bottom|left|right|primary|secondary|wrapper|container|list|box|block|area|inner|bar|links?"
+    r"|buttons?|posts|form)"
+)
+_AROUND_NAMES = re.compile(
+    rf"(?:{_PLACE}[_-])*{_AROUND_WORD}(?:[_-](?:{_AROUND_WORD}|{_PLACE}))*(?:[_-]?\d+)?", re.IGNORECASE
 )
 _ARTICLE_NAMES = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story)(?:$|[\s_-]body$|[\s_-]content$)", re.IGNORECASE)
 
 
 def _zone_of(tag: str, rest: str, inside: int) -> int | None:
-    """What a container says about its content; None if nothing."""
-    names = " ".join(a or b or c for a, b, c in _NAMES.findall(rest)) if rest else ""
-    if names and _AROUND_NAMES.search(names):
+    """What a container says about its content; None if nothing. An article's tag wins over names, which count whole."""
+    if tag in _ARTICLE:
+        return 1
+    names = " ".join(a or b or c for a, b, c in _NAMES.findall(rest)).split() if rest else []
+    if any(_AROUND_NAMES.fullmatch(name) for name in names):
         return -1
-    if tag in _ARTICLE or (names and inside >= 0 and _ARTICLE_NAMES.search(names)):
+    if inside >= 0 and any(_ARTICLE_NAMES.search(name) for name in names):
         return 1
     if tag in _AROUND:
         return 1 if tag == "header" and inside > 0 else -1

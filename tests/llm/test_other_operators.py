@@ -118,6 +118,28 @@ def test_pages_without_marks():
 ODD = ["", " ", "  ", "a  b", " a", "a ", "\n", "a\n\n b", "x\ty", "日本語 テスト", "🙂 emoji", "a" * 300, "the the  the   the", "▁▁", "\x00"]
 
 
+@pytest.mark.parametrize(
+    "opening",
+    [
+        '<article class="post category-social">',
+        '<article class="post has-comments">',
+        '<main id=x class="with-sidebar">',
+        '<article class="sidebar">',
+        '<div class="content no-sidebar">',
+    ],
+)
+def test_names_with_a_part_like_surroundings(opening):
+    tag = opening[1:].split()[0]
+    page = f'{opening}<div class="entry-header"><h1>Title here</h1></div><p>one two</p></{tag}><div class="ad social">buy it</div>'
+    assert html.main_text(page) == "Title here one two"
+
+
+@pytest.mark.parametrize("empty", ["<svg/>", '<svg class="a>b" />', '<math alt="x"/>', "<SVG width=1 />"])
+def test_self_closed_drawings_are_empty(empty):
+    page = f"<article><p>before it</p>{empty}<p>after it</p><svg a='/'><text>no</text></svg><p>end</p></article>"
+    assert html.main_text(page) == "before it after it end"
+
+
 def test_pieces_equal_the_library(spark):
     rng = random.Random(1)
     vocabulary = pieces.Vocabulary.load()
