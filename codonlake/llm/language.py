@@ -8,29 +8,30 @@ bytes left are equally likely. Counts are frozen, so a context's code lengths
 are a fixed row, and a text's code length is a sum of looked-up entries. The
 language with the shortest code wins.
 
-Spark adds up the four-byte counts of every training document. The model that
-tasks get is bounded: the most frequent ``SYMBOLS`` bytes are told apart, and
-contexts are kept, most frequent first, until the table has ``CELLS`` entries;
-others fall back to their shorter context.
+Spark adds up the four-byte counts of every training document and builds one table
+for each language: all bytes and contexts seen, and no others. Every count stays.
+Languages do not depend on each other, so tasks hold the tables of a group of languages
+at a time, of about ``GROUP`` bytes; the grouping changes no result.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from codonlake.session import stored
 
 UNKNOWN = "und"
-SYMBOLS = 127
-CELLS = 1 << 22
-GRAMS = 1 << 18
+GROUP = 1 << 27
 _HELD = 1 << 22
 _AT_ONCE = 1 << 21
+_ROWS = 5_000
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -60,10 +61,11 @@ def gram_counts(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFr
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
-        def told() -> pd.DataFrame:
-            parts = [pd.DataFrame({"lang": k, "gram": g.astype(np.int64), "n": n}) for k, (g, n) in sums.items()]
+        def told() -> Iterator[pd.DataFrame]:
+            for k, (g, n) in sums.items():
+                for a in range(0, len(g), _ROWS):
+                    yield pd.DataFrame({"lang": k, "gram": g[a : a + _ROWS].astype(np.int64), "n": n[a : a + _ROWS]})
             sums.clear()
-            return pd.concat(parts) if parts else pd.DataFrame({"lang": [], "gram": [], "n": []})
 
         for batch in batches:
             for name, rows in batch.groupby("lang")["text"]:
@@ -78,69 +80,88 @@ def gram_counts(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFr
                         sums[name] = _added(sums[name], new) if name in sums else new
                         part, size = [], 0
             if sum(len(g) for g, _ in sums.values()) > _HELD:
-                yield told()
-        yield told()
+                yield from told()
+        yield from told()
 
     rows = df.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
     counts = rows.mapInPandas(count, "lang string, gram long, n long")
     return counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of values in sorted keys, and whether they are there."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+class _Table:
+    """One language: symbols and contexts seen in each order, and what they cost in bits.
+
+    A context offers a part of what its shorter context does. So what a symbol costs
+    there depends only on whether the search began in this context or came from the
+    next longer one: ``first`` and ``after`` hold the bits of the total and of the
+    escape for both, ``after`` beside the longer context.
+    """
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray):
+        self.symbols, self.contexts, self.bits, self.first, self.after = [], [], [], [], []
+        shorter = None
+        for order in range(4):
+            keys, of = np.unique(gram & ((1 << 8 * (order + 1)) - 1), return_inverse=True)
+            counts = np.bincount(of, n, len(keys)).astype(np.int64)
+            contexts, owner, distinct = np.unique(keys >> 8, return_inverse=True, return_counts=True)
+            total = np.bincount(owner, counts, len(contexts)).astype(np.int64)
+            self.first.append(self._costs(total, distinct))
+            if shorter:
+                s_keys, s_counts, s_contexts, s_total, s_distinct = shorter
+                again = s_counts[np.searchsorted(s_keys, keys & ((1 << 8 * order) - 1))]
+                at = np.searchsorted(s_contexts, contexts & ((1 << 8 * (order - 1)) - 1))
+                offered = np.bincount(owner, again, len(contexts)).astype(np.int64)
+                self.after.append(self._costs(s_total[at] - offered, s_distinct[at] - distinct))
+            else:
+                self.after.append(None)
+            self.symbols.append(keys.astype(np.uint32))
+            self.contexts.append(contexts.astype(np.uint32))
+            self.bits.append(np.log2(counts).astype(np.float32))
+            shorter = keys, counts, contexts, total, distinct
+        self.rest = float(np.log2(max(1, 256 - len(self.symbols[0]))))
+
+    @staticmethod
+    def _costs(total: np.ndarray, distinct: np.ndarray) -> np.ndarray:
+        """Bits of total plus distinct, and of an escape; no cost if nothing is left to offer."""
+        some = distinct > 0
+        whole = np.log2(np.where(some, total + distinct, 1))
+        return np.stack([whole, whole - np.log2(np.where(some, distinct, 1))]).astype(np.float32)
+
+    def costs(self, grams: np.ndarray) -> np.ndarray:
+        """Bits of the last of each four bytes after the three before it."""
+        bits = np.zeros(len(grams))
+        open_, begun, longer = np.ones(len(grams), bool), np.zeros(len(grams), bool), None
+        for order in (3, 2, 1, 0):
+            at, seen = _found(self.contexts[order], grams >> 8 & np.uint32((1 << 8 * order) - 1))
+            place, known = _found(self.symbols[order], grams & np.uint32((1 << 8 * (order + 1)) - 1))
+            whole, escape = self.first[order][:, at]
+            if longer is not None:
+                whole, escape = np.where(begun, self.after[order + 1][:, longer], (whole, escape))
+            known &= seen
+            bits += np.where(open_ & seen, np.where(known, whole - self.bits[order][place], escape), 0.0)
+            open_ &= ~known
+            begun |= seen
+            longer = at
+        return bits + np.where(open_, self.rest, 0.0)
+
+
 class Model:
-    """Rows of code lengths in bits, by context, symbol and language."""
-
-    def __init__(self, counts: pd.DataFrame, cells: int = CELLS):
-        self.languages = sorted(counts["lang"].unique())
-        n_lang = len(self.languages)
-        gram, n = counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(np.float64)
-        of = counts["lang"].map({k: i for i, k in enumerate(self.languages)}).to_numpy(np.int64)
-        common = np.argsort(-np.bincount(gram & 255, n, 256), kind="stable")[:SYMBOLS]
-        self.symbol = np.full(256, SYMBOLS, np.int64)
-        self.symbol[common] = np.arange(len(common))
-        base = self.base = SYMBOLS + 1
-        s = [self.symbol[(gram >> shift) & 255] for shift in (24, 16, 8, 0)]
-        contexts = {3: (s[0] * base + s[1]) * base + s[2], 2: s[1] * base + s[2], 1: s[2], 0: np.zeros_like(s[2])}
-        size = {k: base**k for k in contexts}
-        total = {k: np.bincount(c, n, size[k]) for k, c in contexts.items()}
-        room = max(0, cells // (base * max(1, n_lang)) - base - 1)
-        kept = {0: np.array([0]), 1: np.arange(base)}
-        for order in (2, 3):
-            seen = np.flatnonzero(total[order])
-            kept[order] = np.sort(seen[np.argsort(-total[order][seen], kind="stable")[:room]])
-            room -= len(kept[order])
-        row, tables, start = np.zeros(base**3, np.int32), [], 0
-        every = np.arange(base**3)
-        for order in (0, 1, 2, 3):
-            places = np.full(size[order], -1, np.int64)
-            places[kept[order]] = start + np.arange(len(kept[order]))
-            here = places[every % size[order]]
-            row = np.where(here >= 0, here, row).astype(np.int32)
-            start += len(kept[order])
-            tables.append(np.stack([self._lengths(order, kept, contexts, s[3], n, of == k) for k in range(n_lang)], axis=2))
-        self.row, self.table = row, np.concatenate(tables).astype(np.float16)
-
-    def _lengths(self, order: int, kept: dict, contexts: dict, last: np.ndarray, n: np.ndarray, mine: np.ndarray) -> np.ndarray:
-        """Code lengths of all symbols in the kept contexts of an order, for one language."""
-        base, rows = self.base, kept[order]
-        escape, chance = np.ones(len(rows)), np.zeros((len(rows), base))
-        offered = np.zeros((len(rows), base), bool)
-        for k in range(order, -1, -1):
-            shorter = rows % base**k
-            known, inverse = np.unique(shorter, return_inverse=True)
-            where = np.searchsorted(known, contexts[k])
-            hit = mine & (where < len(known))
-            hit[hit] &= known[where[hit]] == contexts[k][hit]
-            flat = np.bincount(where[hit] * base + last[hit], n[hit], len(known) * base)
-            counts = np.where(offered, 0.0, flat.reshape(-1, base)[inverse])
-            distinct, whole = (counts > 0).sum(axis=1), counts.sum(axis=1)
-            some = whole > 0
-            share = np.where(some, escape / np.where(some, whole + distinct, 1.0), 0.0)
-            chance += counts * share[:, None]
-            escape = np.where(some, share * distinct, escape)
-            offered |= counts > 0
-        left = np.maximum(1, 256 - offered.sum(axis=1))
-        chance = np.where(offered, chance, (escape / left)[:, None])
-        return -np.log2(np.maximum(chance, 2.0**-60))
+    """Tables of some languages."""
+
+    def __init__(self, counts: pd.DataFrame | None = None, tables: dict[str, _Table] | None = None):
+        if tables is None:
+            tables = {
+                name: _Table(rows["gram"].to_numpy(np.int64), rows["n"].to_numpy(np.float64))
+                for name, rows in counts.groupby("lang")
+            }
+        self.languages = sorted(tables)
+        self.tables = [tables[k] for k in self.languages]
 
     def lengths(self, texts: list[str]) -> np.ndarray:
         """Code length in bits of each text in each language."""
@@ -157,56 +178,72 @@ class Model:
         return sums
 
     def _sums(self, data: list[bytes]) -> np.ndarray:
-        base, whole = self.base, self.symbol[np.frombuffer(b"".join(data), np.uint8)].astype(np.int32)
+        whole = np.frombuffer(b"".join(data), np.uint8)
         starts = np.concatenate([[0], np.cumsum([len(d) for d in data])[:-1]])
         out = np.zeros((len(data), len(self.languages)))
-        step = 1 << 20
-        for a in range(3, len(whole), step):  # very long texts go through in parts
-            b = min(len(whole), a + step)
-            row = self.row[(whole[a - 3 : b - 3] * base + whole[a - 2 : b - 2]) * base + whole[a - 1 : b - 1]]
-            cost = self.table[row, whole[a:b]].astype(np.float32)
+        for a in range(3, len(whole), _AT_ONCE):  # very long texts go through in parts
+            b = min(len(whole), a + _AT_ONCE)
+            grams, of = np.unique(_codes(whole[a - 3 : b]), return_inverse=True)
             owner = np.searchsorted(starts, np.arange(a, b), "right") - 1
-            cost[np.arange(a, b) - starts[owner] < 3] = 0  # the padding in front
+            padding = np.arange(a, b) - starts[owner] < 3
             cuts = np.flatnonzero(np.diff(owner, prepend=-1))
-            out[owner[cuts]] += np.add.reduceat(cost, cuts, axis=0, dtype=np.float64)
+            for k, table in enumerate(self.tables):
+                cost = table.costs(grams)[of]
+                cost[padding] = 0
+                out[owner[cuts], k] += np.add.reduceat(cost, cuts)
         return out
 
 
-def trained(df: DataFrame, text: str = "text", lang: str = "lang", grams: int = GRAMS, cells: int = CELLS) -> Model | None:
-    """Model from every row with text and language; None if there are none. At most ``grams`` counts reach the driver."""
-    counts = stored(gram_counts(df, text, lang), "language-counts")
-    sizes = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("step")).count().collect()  # at most 63 rows
-    if not sizes:
-        return None
-    least, room = 1, grams
-    for step, n in sorted(((r["step"], r["count"]) for r in sizes), reverse=True):
-        room -= n
-        if room < 0 and step < max(r["step"] for r in sizes):
-            least = 1 << (step + 1)
-            break
-    return Model(counts.filter(F.col("n") >= least).toPandas().sort_values(["lang", "gram"]), cells)
+def trained(df: DataFrame, text: str = "text", lang: str = "lang", group: int = GROUP) -> list[Broadcast]:
+    """Models of all languages that rows with a text have, in groups of about ``group`` bytes; in order of their names."""
 
+    def table(rows: pd.DataFrame) -> pd.DataFrame:
+        data = pickle.dumps(_Table(rows["gram"].to_numpy(np.int64), rows["n"].to_numpy(np.float64)))
+        return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "size": [len(data)], "data": [data]})
 
-def identified(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    tables = stored(
+        gram_counts(df, text, lang).groupBy("lang").applyInPandas(table, "lang string, size long, data binary"), "languages"
+    )
+    groups, room = [], 0
+    for name, size in sorted(tuple(r) for r in tables.select("lang", "size").collect()):
+        if not groups or size > room:
+            groups.append([])
+            room = group
+        groups[-1].append(name)
+        room -= size
+    models = []
+    for names in groups:
+        rows = tables.filter(F.col("lang").isin(names)).select("lang", "data").toLocalIterator()
+        model = Model(tables={r["lang"]: pickle.loads(r["data"]) for r in rows})
+        models.append(df.sparkSession.sparkContext.broadcast(model))
+        vars(models[-1]).pop("_value", None)  # the driver holds one group at a time
+    return models
+
+
+def identified(df: DataFrame, models: list[Broadcast], text: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``score``; ``und`` and 0 for null texts and texts without letters, or without a model.
 
     The score is the share of the language when all are equally likely
     beforehand; of equal languages the first by name wins.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
     kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     @F.pandas_udf(kind)
     def guess(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m = shared.value
         for texts in parts:
             out = pd.DataFrame({"lang_pred": [UNKNOWN] * len(texts), "score": np.zeros(len(texts))})
-            can = [i for i, t in enumerate(texts) if m is not None and t is not None and _LETTER.search(t)]
+            can = [i for i, t in enumerate(texts) if models and t is not None and _LETTER.search(t)]
             if can:
-                bits = m.lengths([texts.iloc[i] for i in can])
+                languages, columns = [], []
+                for shared in models:
+                    languages += shared.value.languages
+                    columns.append(shared.value.lengths([texts.iloc[i] for i in can]))
+                    if len(models) > 1:
+                        vars(shared).pop("_value", None)  # read again for the next batch
+                bits = np.concatenate(columns, axis=1)
                 chance = np.exp2(np.maximum(-1000, bits.min(axis=1, keepdims=True) - bits))
                 best = bits.argmin(axis=1)
-                out.loc[can, "lang_pred"] = [m.languages[b] for b in best]
+                out.loc[can, "lang_pred"] = [languages[b] for b in best]
                 out.loc[can, "score"] = chance[np.arange(len(can)), best] / chance.sum(axis=1)
             yield out
 
@@ -218,5 +255,5 @@ def identified(df: DataFrame, model: Model | None, text: str = "text") -> DataFr
 def language_table(df: DataFrame) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score)`` of every row, learnt from rows that are not held out."""
     rows = df.select("doc_id", "text", "lang", held_out(F.col("doc_id")).alias("held_out"))
-    model = trained(rows.filter(~F.col("held_out")))
-    return identified(rows.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
+    models = trained(rows.filter(~F.col("held_out")))
+    return identified(rows.select("doc_id", "text", "held_out"), models).select("doc_id", "held_out", "lang_pred", "score")

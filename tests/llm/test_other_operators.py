@@ -224,6 +224,24 @@ def test_code_lengths_are_exact():
     assert model.lengths(["abrazadabka"])[0, 0] == pytest.approx(bits, rel=0.01)
 
 
+def test_no_language_context_or_byte_is_left_out(spark):
+    """Many languages with all byte values, one of them small: the same as each language by itself, in groups or not."""
+    rng = random.Random(3)
+    letters = [chr(c) for c in [*range(0x61, 0x7B), *range(0xE0, 0x17F), *range(0x400, 0x460), *range(0x4E00, 0x4E60)]]
+    own = {f"l{k:02d}": "".join(rng.sample(letters, 40)) for k in range(30)}
+    rows = [(k, prose(k, 80, letter), name) for k, (name, letter) in enumerate(own.items())]
+    rows += [(100 + k, prose(100 + k, 400, own["l00"]), "l00") for k in range(200)] + [(900, "ab", "small")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    probes = [(k, prose(5000 + k, 12, letter), name) for k, (name, letter) in enumerate(own.items())] + [(90, "ab", "small")]
+    asked = spark.createDataFrame(probes, "doc_id long, text string, want string")
+    whole, parts = language.trained(df), language.trained(df, group=20_000)
+    assert len(whole) == 1 and len(parts) > 3
+    assert whole[0].value.languages == sorted({*own, "small"})
+    assert sum(len(t.symbols[3]) for t in whole[0].value.tables) == language.gram_counts(df).count()
+    one, many = (language.identified(asked, m).orderBy("doc_id").collect() for m in (whole, parts))
+    assert one == many and all(r["lang_pred"] == r["want"] for r in one)
+
+
 def test_nearest_codes(spark):
     rng = random.Random(4)
     codes = [rng.getrandbits(64) - (1 << 63) for _ in range(150)]
