@@ -111,19 +111,21 @@ def run(
     genbank=None,
     compute_entropy: bool = True,
     validate: bool = True,
+    parts: int = 1,
     **options,
 ) -> tuple[DataFrame, DataFrame]:
     """Full run over files: ``(features, results)``, both written below ``output``.
 
     Flat features are stored first as Parquet and the nested results are made
     from that table, so no ORF is computed twice and a lost executor costs
-    only its own tasks.
+    only its own tasks. With ``parts`` every sequence, large or small,
+    becomes up to so many results, for input whose largest one would not fit a row.
     """
     seqs, cds = read_inputs(spark, fasta, genbank, validate)
     feature_table(seqs, cds, compute_entropy=compute_entropy, **options).write.parquet(f"{output}/features")
     features = spark.read.parquet(f"{output}/features")
     heads = result_headers(seqs, features, compute_entropy)
-    write_results(nest_features(features, heads), f"{output}/results")
+    write_results(nest_features(features, heads, parts=parts), f"{output}/results")
     return features, read_results(spark, f"{output}/results", json_lines=True)
 
 

@@ -843,11 +843,15 @@ def encoded_without_gaps(spark, sf_dir):
     return left.select("*", one).join(counts.select("*", one), "_one").drop("_one")
 
 
+#: Results of every sequence in the full runs, so that no row grows with the largest one.
+PARTS = 16
+
+
 @query
 def genbank_run(spark, sf_dir):
     """The full run from GenBank files alone, and its nested results."""
     path = scratch_path(spark, "genbank-run")
-    _, nested = jobs.run(spark, path, genbank=_genbank_text(spark, sf_dir), encoder_factory=d.stand_in_encoder)
+    _, nested = jobs.run(spark, path, genbank=_genbank_text(spark, sf_dir), parts=PARTS, encoder_factory=d.stand_in_encoder)
     return results.flat_features(nested).select(
         *KEYS, "start", "end", "strand", "in_genbank", "protein_length", r6("dna_entropy").alias("dna_entropy")
     )
@@ -859,7 +863,12 @@ def full_run(spark, sf_dir):
     path = scratch_path(spark, "run")
     fasta.write_fasta(d.sequences(spark, sf_dir), f"{path}/input")
     rows, _ = jobs.run(
-        spark, path, fasta=f"{path}/input", genbank=_genbank_text(spark, sf_dir), encoder_factory=d.stand_in_encoder
+        spark,
+        path,
+        fasta=f"{path}/input",
+        genbank=_genbank_text(spark, sf_dir),
+        parts=PARTS,
+        encoder_factory=d.stand_in_encoder,
     )
     return rows.select(
         *KEYS,

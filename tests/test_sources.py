@@ -286,6 +286,18 @@ def test_one_result_for_each_sequence_unless_parts_are_asked_for(spark, result_d
         assert {r["input_id"]: (r["n"], r["rows"]) for r in sizes} == {"v2": (2, min(parts, 2)), "none": (0, 1)}
 
 
+def test_runs_and_conversions_split_every_sequence_alike(spark, result_dir, tmp_path):
+    read = results.read_results(spark, result_dir)
+    whole, split = results.to_unified(read), results.to_unified(read, parts=50)
+    assert split.count() > whole.count()
+    features = lambda df: sorted(map(str, df.select("input_id", F.explode("features")).collect()))
+    assert features(whole) == features(split)
+    (tmp_path / "x.fa").write_text(">s\n" + ("ATG" + "GCA" * 40 + "TAA") * 6 + "\n")
+    flat, nested = jobs.run(spark, str(tmp_path / "run"), fasta=tmp_path / "x.fa", parts=8)
+    assert 1 < nested.count() <= 8
+    assert results.flat_features(nested).select("orf_id").distinct().count() == flat.count()
+
+
 def test_no_results(spark, tmp_path):
     (tmp_path / "broken.json").write_text("{ no")
     with pytest.raises(ValueError, match="no valid"):
