@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codonlake.llm import hamming, html, language, mixing, pieces, quality, secrets, simhash, suffixes, warc
+from codonlake.llm import hamming, html, language, mixing, pieces, quality, secrets, simhash, spelling, subwords, suffixes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -71,6 +71,16 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.page_texts(_table(spark, sf_dir, "pages"))
 
 
+@_query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subwords.round_trip_digests(_table(spark, sf_dir, "documents"))
+
+
 #: Pages by payload: the largest page_id of equal payloads is the response.
 ORACLE["op6_warc_revisits"] = """
 WITH p AS (
