@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codonlake.llm import hamming, html, language, mixing, pieces, quality, secrets, simhash, spelling, subwords, suffixes, warc
+from codonlake.llm import hamming, html, language, mixing, phrases, pieces, quality, secrets, simhash, spelling, subwords, suffixes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -81,6 +81,11 @@ def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subwords.round_trip_digests(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 #: Pages by payload: the largest page_id of equal payloads is the response.
 ORACLE["op6_warc_revisits"] = """
 WITH p AS (
@@ -110,3 +115,39 @@ WITH bits AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id)::INT AS rank FROM pairs
 )
 SELECT query_id, rank, neighbor_id, distance FROM ranked WHERE rank <= 10"""
+
+
+#: All phrases of up to five words by language, counted; the weakest cut of each, and the best 2000.
+ORACLE["op13_phrase_collocations"] = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL
+), spelled AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces
+), places AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM spelled WHERE len(w) > 0
+), grams AS (
+  SELECT lang, list_slice(w, i, i + m - 1) AS p FROM places, range(1, 6) t(m) WHERE i + m - 1 <= len(w)
+), f AS (SELECT lang, p, count(*) AS c FROM grams GROUP BY ALL
+), totals AS (SELECT lang, sum(c)::BIGINT AS n FROM f WHERE len(p) = 1 GROUP BY lang
+), candidates AS (SELECT lang, p, c AS a FROM f WHERE c >= 100 AND len(p) > 1
+), inner_phrases AS (
+  SELECT DISTINCT s.lang, s.p FROM (
+    SELECT lang, a, list_slice(p, i, j) AS p
+    FROM candidates, range(1, 6) x(i), range(1, 6) y(j) WHERE i < j AND j <= len(p) AND j - i + 1 < len(p)
+  ) s JOIN candidates c ON c.lang = s.lang AND c.p = s.p AND 100 * s.a >= 100 * c.a
+), cuts AS (
+  SELECT c.lang, c.p, c.a, k, l.c AS l, r.c AS r, n, (1000::HUGEINT * c.a * n // (l.c::HUGEINT * r.c))::BIGINT AS score
+  FROM candidates c CROSS JOIN range(1, 5) t(k) JOIN totals USING (lang)
+  JOIN f l ON l.lang = c.lang AND l.p = list_slice(c.p, 1, k)
+  JOIN f r ON r.lang = c.lang AND r.p = list_slice(c.p, k + 1, len(c.p))
+  WHERE k < len(c.p) AND NOT EXISTS (SELECT 1 FROM inner_phrases i WHERE i.lang = c.lang AND i.p = c.p)
+), weakest AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, k) AS place FROM cuts
+), ranked AS (
+  SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, n, score,
+    row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank
+  FROM weakest WHERE place = 1
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000"""

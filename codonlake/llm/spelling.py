@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from codonlake.llm.bloom import block_and_mask, may_hold, mixed
 from codonlake.session import stored
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xC0, 0x100)))
@@ -33,7 +34,6 @@ LEAST_LENGTH, LEAST_COUNT, DROP_EVERY = 5, 3, 97
 SEGMENT = 1 << 20
 BITS_EACH = 24
 PASS_BYTES = 32 << 20
-_BITS = 5
 _AT_ONCE = 1 << 19
 _POSITIVE = "source long, length int, place int, letter int, target long"
 
@@ -60,18 +60,9 @@ def corpus_words(
     return rows.filter(F.length("word") >= 1).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """64 well-mixed bits of each number."""
-    with np.errstate(over="ignore"):
-        x = x + np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
 def _numbers(places: np.ndarray, letters: np.ndarray) -> np.ndarray:
     """The number of each (place, letter)."""
-    return _mixed(places.astype(np.uint64) * np.uint64(512) + letters.astype(np.uint64))
+    return mixed(places.astype(np.uint64) * np.uint64(512) + letters.astype(np.uint64))
 
 
 def _grid(words: list[str], length: int) -> np.ndarray:
@@ -101,15 +92,6 @@ def word_hashes(words: pd.Series) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _block_and_mask(h: np.ndarray, blocks: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-    """Block of a filter that a hash falls into and the bits it sets there."""
-    x = _mixed(h)
-    mask = np.zeros(h.shape, np.uint64)
-    for k in range(_BITS):
-        mask |= np.uint64(1) << ((x >> np.uint64(6 * k)) & np.uint64(63))
-    return ((x >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32), mask
-
-
 def _segment(h: np.ndarray, segments: int) -> np.ndarray:
     return (h >> np.uint64(40)) % np.uint64(segments)
 
@@ -128,8 +110,7 @@ class Filters:
             blocks = self.blocks.get((length, s))
             if blocks is None:
                 continue
-            at, mask = _block_and_mask(h, len(blocks))
-            hit = (blocks[at.astype(np.int64)] & mask) == mask
+            hit = may_hold(blocks, h)
             found |= hit & (_segment(h, n) == s) if n > 1 else hit
         return found
 
@@ -170,7 +151,7 @@ def _filter_blocks(words: DataFrame, segments: dict[int, int], sizes: dict[tuple
                 part = _segment(mine, segments[at])
                 for s in np.unique(part).tolist():
                     if (at, s) in sizes:
-                        block, mask = _block_and_mask(mine[part == s], sizes[at, s])
+                        block, mask = block_and_mask(mine[part == s], sizes[at, s])
                         yield pd.DataFrame({"length": at, "segment": s, "block": block.view(np.int64), "bits": mask.view(np.int64)})
 
     found = words.select("h", "length").mapInPandas(run, "length int, segment int, block long, bits long")

@@ -7,9 +7,10 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pandas as pd
 
-from codonlake.llm import spelling
+from codonlake.llm import bloom, spelling
 
 SCHEMA = "doc_id long, text string, word string, n long"
 RUN = re.compile(r"[A-Za-zÀ-ÿ]+")
@@ -98,9 +99,9 @@ def test_filter_is_small_and_true():
     h = spelling.word_hashes(words).view("uint64")
     segments, passes = spelling._passes([(6, 1000)], 1 << 20, 1 << 20)
     blocks = passes[0][6, 0]
-    at, mask = spelling._block_and_mask(h, blocks)
-    bits = pd.Series(mask).groupby(at.astype("int64")).agg(lambda m: __import__("functools").reduce(lambda x, y: x | y, m))
-    table = __import__("numpy").zeros(blocks, "uint64")
+    at, mask = bloom.block_and_mask(h, blocks)
+    bits = pd.Series(mask).groupby(at.astype("int64")).agg(lambda m: np.bitwise_or.reduce(m.to_numpy()))
+    table = np.zeros(blocks, "uint64")
     table[bits.index] = bits.to_numpy("uint64")
     filters = spelling.Filters(segments, {(6, 0): table})
     others = spelling.word_hashes(pd.Series([f"k{k:05d}".translate(str.maketrans("0123456789", "klmnopqrst")) for k in range(20000)])).view("uint64")
