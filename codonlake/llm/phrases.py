@@ -9,6 +9,10 @@ equal and larger; the size of an equal partition is the count of a phrase. Parti
 below the least count are abandoned, but for those at the two edges of a range, which
 may go on in the next task; their counts are added up after the sort.
 
+Leading pairs are routed and counted first, and those below the least count abandoned:
+a suffix ends before a pair that a Bloom filter of the others, of fixed size, does not hold. When
+that filter gets full it only shortens fewer suffixes; counts stay exact.
+
 Words are symbols: the ``DICTIONARY`` most frequent ones are numbered (that table is
 broadcast, its size is bounded by the parameter), other frequent ones go by a 63-bit hash
 that is checked to be unique. A word below the least count ends a suffix, as no
@@ -37,6 +41,7 @@ LONGEST_ENTRY = 64
 FILTER_BLOCKS = 1 << 21
 ROWS_A_TASK = 1 << 20
 _BLOCK_BYTES = 4 << 20
+_PAIRS_AT_ONCE = 1 << 21
 _FOLD = (1 << 24) - 1
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _STOPS = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b".........")
@@ -108,13 +113,52 @@ def _folded(s: np.ndarray, dictionary: int) -> np.ndarray:
     return np.where(s >= 0, s, dictionary + 1 + (-1 - s) % (_FOLD - dictionary))
 
 
-def _suffix_rows(s: np.ndarray, dictionary: int) -> pa.RecordBatch:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
+    """Texts of one language, some megabytes together or one longer text."""
+    for batch in batches:
+        waiting: dict[str, list[bytes]] = {}
+        size: dict[str, int] = {}
+        for lang, data in zip(batch.column("lang").to_pylist(), batch.column("text")):
+            data = data.as_py()
+            waiting.setdefault(lang, []).append(data)
+            size[lang] = size.get(lang, 0) + len(data)
+            if size[lang] >= _BLOCK_BYTES:
+                yield lang, waiting.pop(lang)
+                size[lang] = 0
+        yield from waiting.items()
+
+
+def _pair_keys(s: np.ndarray, dictionary: int) -> np.ndarray:
+    """48 bits of each symbol with the next one; 0 unless both are words."""
+    f = _folded(s, dictionary)
+    key = np.zeros(len(s), np.int64)
+    key[:-1] = np.where((s[:-1] != 0) & (s[1:] != 0), (f[:-1] << 24) | f[1:], 0)
+    return key
+
+
+def _pair_rows(reader: Reader, blocks: Iterator[tuple[str, list[bytes]]], dictionary: int) -> Iterator[pa.RecordBatch]:
+    """``(key, n)`` of the pairs of many blocks, combined within a bounded table."""
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for lang, texts in blocks:
+        new, n = np.unique(_pair_keys(reader.read(lang, texts), dictionary), return_counts=True)
+        keys, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
+        counts = np.bincount(back, weights=np.concatenate([counts, n]), minlength=len(keys)).astype(np.int64)
+        if len(keys) >= _PAIRS_AT_ONCE:
+            yield pa.record_batch([pa.array(keys), pa.array(counts)], names=["key", "n"])
+            keys, counts = keys[:0], counts[:0]
+    yield pa.record_batch([pa.array(keys), pa.array(counts)], names=["key", "n"])
+
+
+def _suffix_rows(s: np.ndarray, dictionary: int, pairs: np.ndarray) -> pa.RecordBatch:
     """Suffixes of two words or more, packed into two numbers; whole symbols are added where a hash is among them."""
-    padded = np.concatenate([s, np.zeros(DEPTH - 1, np.int64)])
-    words = [padded[: len(s)]]
-    for d in range(1, DEPTH):
-        words.append(np.where(words[-1] != 0, padded[d : d + len(s)], 0))
-    grid = np.stack(words, axis=1)[(words[0] != 0) & (words[1] != 0)]
+    keys, back = np.unique(_pair_keys(s, dictionary), return_inverse=True)
+    goes_on = np.concatenate([((keys != 0) & may_hold(pairs, keys.view(np.uint64)))[back], np.zeros(DEPTH, bool)])
+    padded = np.concatenate([s, np.zeros(DEPTH, np.int64)])
+    at = np.flatnonzero(goes_on)
+    grid, on = np.zeros((len(at), DEPTH), np.int64), np.ones(len(at), bool)
+    for d in range(DEPTH):
+        grid[:, d] = np.where(on, padded[at + d], 0)
+        on &= goes_on[at + d]
     f = _folded(grid, dictionary)
     a = (f[:, 0] << 39) | (f[:, 1] << 15) | (f[:, 2] >> 9)
     b = ((f[:, 2] & 511) << 48) | (f[:, 3] << 24) | f[:, 4]
@@ -142,26 +186,37 @@ def _combined(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
     return a[at], b[at], np.add.reduceat(n, at) if len(at) else n
 
 
-def suffixes(df: DataFrame, reader: Reader, dictionary: int, text: str = "text", lang: str = "lang") -> DataFrame:
-    """Packed suffixes of all texts."""
-    shared = df.sparkSession.sparkContext.broadcast(reader)
-    rows = df.select(_lang(F.col(lang)).alias("lang"), F.col(text).cast("binary").alias("text")).filter("text IS NOT NULL")
+def _texts(df: DataFrame, text: str, lang: str) -> DataFrame:
+    return df.select(_lang(F.col(lang)).alias("lang"), F.col(text).cast("binary").alias("text")).filter("text IS NOT NULL")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _filter_of(hashes: DataFrame) -> np.ndarray:
+    """Bloom filter of ``FILTER_BLOCKS`` blocks of a table of one column of longs; joined in Spark, at most that many rows come here."""
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            waiting: dict[str, list[bytes]] = {}
-            size: dict[str, int] = {}
-            for lang, data in zip(batch.column("lang").to_pylist(), batch.column("text")):
-                data = data.as_py()
-                waiting.setdefault(lang, []).append(data)
-                size[lang] = size.get(lang, 0) + len(data)
-                if size[lang] >= _BLOCK_BYTES:
-                    yield _suffix_rows(shared.value.read(lang, waiting.pop(lang)), dictionary)
-                    size[lang] = 0
-            for lang, texts in waiting.items():
-                yield _suffix_rows(shared.value.read(lang, texts), dictionary)
+            at, mask = block_and_mask(batch.column(0).to_numpy().view(np.uint64), FILTER_BLOCKS)
+            yield pa.record_batch([pa.array(at.view(np.int64)), pa.array(mask.view(np.int64))], names=["block", "bits"])
+
+    rows = hashes.mapInArrow(blocks, "block long, bits long").groupBy("block").agg(F.bit_or("bits").alias("bits")).toPandas()
+    bits = np.zeros(FILTER_BLOCKS, np.uint64)
+    bits[rows["block"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    return bits
 
-    return rows.mapInArrow(run, _ROW)
+
+def suffixes(df: DataFrame, reader: Reader, least: int, dictionary: int, text: str = "text", lang: str = "lang") -> DataFrame:
+    """Packed suffixes of all texts, as far as their pairs of words are frequent."""
+    context = df.sparkSession.sparkContext
+    shared = context.broadcast(reader)
+    pairs = _texts(df, text, lang).mapInArrow(lambda it: _pair_rows(shared.value, _blocks(it), dictionary), "key long, n long")
+    frequent = pairs.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("key")
+    held = context.broadcast(_filter_of(frequent))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, texts in _blocks(batches):
+            yield _suffix_rows(shared.value.read(lang, texts), dictionary, held.value)
+
+    return _texts(df, text, lang).mapInArrow(run, _ROW)
 
 
 def three_way_counts(grid: np.ndarray, weight: np.ndarray, open_depth: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -243,17 +298,8 @@ def phrase_counts(df: DataFrame, named: DataFrame, salt: int, least: int, dictio
         known.setdefault(row[0], {})[row[1].encode()] = row[2]
     beyond, bits = named.filter("symbol < 0"), None
     if not beyond.isEmpty():
-
-        def blocks(batches):
-            for batch in batches:
-                at, mask = block_and_mask(batch["symbol"].to_numpy(np.int64).view(np.uint64), FILTER_BLOCKS)
-                yield batch.assign(block=at.view(np.int64), bits=mask.view(np.int64))[["block", "bits"]]
-
-        parts = beyond.select("symbol").mapInPandas(blocks, "block long, bits long").groupBy("block").agg(F.bit_or("bits").alias("bits"))
-        rows = parts.toPandas()  # at most FILTER_BLOCKS rows
-        bits = np.zeros(FILTER_BLOCKS, np.uint64)
-        bits[rows["block"].to_numpy()] = rows["bits"].to_numpy(np.int64).view(np.uint64)
-    packed = stored(suffixes(df, Reader(known, bits, salt), dictionary, text, lang), "phrase-suffixes")
+        bits = _filter_of(beyond.select("symbol"))
+    packed = stored(suffixes(df, Reader(known, bits, salt), least, dictionary, text, lang), "phrase-suffixes")
     tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-packed.count() // ROWS_A_TASK))
     routed = packed.repartitionByRange(tasks, "a", "b")
     parts = routed.mapInArrow(lambda batches: _sorted_range(batches, least), _COUNTS)
