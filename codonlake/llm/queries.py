@@ -129,20 +129,22 @@ WITH pieces AS (
   SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM spelled WHERE len(w) > 0
 ), grams AS (
   SELECT lang, list_slice(w, i, i + m - 1) AS p FROM places, range(1, 6) t(m) WHERE i + m - 1 <= len(w)
-), f AS (SELECT lang, p, count(*) AS c FROM grams GROUP BY ALL
-), totals AS (SELECT lang, sum(c)::BIGINT AS n FROM f WHERE len(p) = 1 GROUP BY lang
-), candidates AS (SELECT lang, p, c AS a FROM f WHERE c >= 100 AND len(p) > 1
-), inner_phrases AS (
-  SELECT DISTINCT s.lang, s.p FROM (
-    SELECT lang, a, list_slice(p, i, j) AS p
-    FROM candidates, range(1, 6) x(i), range(1, 6) y(j) WHERE i < j AND j <= len(p) AND j - i + 1 < len(p)
-  ) s JOIN candidates c ON c.lang = s.lang AND c.p = s.p AND 100 * s.a >= 100 * c.a
+), f AS MATERIALIZED (SELECT lang, p, len(p) AS m, count(*) AS c FROM grams GROUP BY ALL
+), totals AS MATERIALIZED (SELECT lang, sum(c)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang
+), common AS MATERIALIZED (SELECT lang, p, m, c FROM f WHERE c >= 100
+), candidates AS MATERIALIZED (SELECT lang, p, m, c AS a FROM common WHERE m > 1
+), parts AS (
+  SELECT lang, a, list_slice(p, i, j) AS p
+  FROM candidates, range(1, 6) x(i), range(1, 6) y(j) WHERE i < j AND j <= m AND j - i + 1 < m
+), inner_phrases AS MATERIALIZED (
+  SELECT DISTINCT s.lang, s.p FROM parts s JOIN candidates c ON c.lang = s.lang AND c.p = s.p AND 100 * s.a >= 100 * c.a
+), halves AS MATERIALIZED (
+  SELECT lang, p, a, k, list_slice(p, 1, k) AS lp, list_slice(p, k + 1, m) AS rp
+  FROM candidates ANTI JOIN inner_phrases USING (lang, p), range(1, 5) t(k) WHERE k < m
 ), cuts AS (
-  SELECT c.lang, c.p, c.a, k, l.c AS l, r.c AS r, n, (1000::HUGEINT * c.a * n // (l.c::HUGEINT * r.c))::BIGINT AS score
-  FROM candidates c CROSS JOIN range(1, 5) t(k) JOIN totals USING (lang)
-  JOIN f l ON l.lang = c.lang AND l.p = list_slice(c.p, 1, k)
-  JOIN f r ON r.lang = c.lang AND r.p = list_slice(c.p, k + 1, len(c.p))
-  WHERE k < len(c.p) AND NOT EXISTS (SELECT 1 FROM inner_phrases i WHERE i.lang = c.lang AND i.p = c.p)
+  SELECT h.lang, h.p, a, k, l.c AS l, r.c AS r, n, (1000::HUGEINT * a * n // (l.c::HUGEINT * r.c))::BIGINT AS score
+  FROM halves h JOIN totals t ON t.lang = h.lang
+  JOIN common l ON l.lang = h.lang AND l.p = lp JOIN common r ON r.lang = h.lang AND r.p = rp
 ), weakest AS (
   SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, k) AS place FROM cuts
 ), ranked AS (
