@@ -41,7 +41,7 @@ LONGEST_ENTRY = 64
 FILTER_BLOCKS = 1 << 21
 ROWS_A_TASK = 1 << 20
 _BLOCK_BYTES = 4 << 20
-_PAIRS_AT_ONCE = 1 << 21
+_ROWS_AT_ONCE = 1 << 21
 _FOLD = (1 << 24) - 1
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _STOPS = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b".........")
@@ -143,14 +143,14 @@ def _pair_rows(reader: Reader, blocks: Iterator[tuple[str, list[bytes]]], dictio
         new, n = np.unique(_pair_keys(reader.read(lang, texts), dictionary), return_counts=True)
         keys, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
         counts = np.bincount(back, weights=np.concatenate([counts, n]), minlength=len(keys)).astype(np.int64)
-        if len(keys) >= _PAIRS_AT_ONCE:
+        if len(keys) >= _ROWS_AT_ONCE:
             yield pa.record_batch([pa.array(keys), pa.array(counts)], names=["key", "n"])
             keys, counts = keys[:0], counts[:0]
     yield pa.record_batch([pa.array(keys), pa.array(counts)], names=["key", "n"])
 
 
-def _suffix_rows(s: np.ndarray, dictionary: int, pairs: np.ndarray) -> pa.RecordBatch:
-    """Suffixes of two words or more, packed into two numbers; whole symbols are added where a hash is among them."""
+def _packed(s: np.ndarray, dictionary: int, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes of two words or more: two numbers each, and their symbols."""
     keys, back = np.unique(_pair_keys(s, dictionary), return_inverse=True)
     goes_on = np.concatenate([((keys != 0) & may_hold(pairs, keys.view(np.uint64)))[back], np.zeros(DEPTH, bool)])
     padded = np.concatenate([s, np.zeros(DEPTH, np.int64)])
@@ -161,19 +161,27 @@ def _suffix_rows(s: np.ndarray, dictionary: int, pairs: np.ndarray) -> pa.Record
         on &= goes_on[at + d]
     f = _folded(grid, dictionary)
     a = (f[:, 0] << 39) | (f[:, 1] << 15) | (f[:, 2] >> 9)
-    b = ((f[:, 2] & 511) << 48) | (f[:, 3] << 24) | f[:, 4]
-    hashed = (grid < 0).any(axis=1)
-    a0, b0, n0 = _combined(a[~hashed], b[~hashed], np.ones(int((~hashed).sum()), np.int64))
-    tails = [row.tobytes() for row in grid[hashed]]
-    return pa.record_batch(
-        [
-            pa.array(np.concatenate([a0, a[hashed]])),
-            pa.array(np.concatenate([b0, b[hashed]])),
-            pa.array(np.concatenate([n0, np.ones(len(tails), np.int64)]).astype(np.int32)),
-            pa.array([None] * len(a0) + tails, pa.binary()),
-        ],
-        names=["a", "b", "n", "tail"],
-    )
+    return a, ((f[:, 2] & 511) << 48) | (f[:, 3] << 24) | f[:, 4], grid
+
+
+def _suffix_rows(reader: Reader, blocks: Iterator[tuple[str, list[bytes]]], dictionary: int, pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Suffixes of many blocks, combined within a bounded table; those with hashes among them come with whole symbols."""
+    table = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def rows(a: np.ndarray, b: np.ndarray, n: np.ndarray, tails: list[bytes | None]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(a), pa.array(b), pa.array(n.astype(np.int32)), pa.array(tails, pa.binary())], names=["a", "b", "n", "tail"])
+
+    for lang, texts in blocks:
+        a, b, grid = _packed(reader.read(lang, texts), dictionary, pairs)
+        hashed = (grid < 0).any(axis=1)
+        ones = np.ones(len(a), np.int64)
+        if hashed.any():
+            yield rows(a[hashed], b[hashed], ones[hashed], [row.tobytes() for row in grid[hashed]])
+        table = _combined(*(np.concatenate([old, new[~hashed]]) for old, new in zip(table, (a, b, ones))))
+        if len(table[0]) >= _ROWS_AT_ONCE:
+            yield rows(*table, [None] * len(table[0]))
+            table = tuple(x[:0] for x in table)
+    yield rows(*table, [None] * len(table[0]))
 
 
 def _combined(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -212,11 +220,7 @@ def suffixes(df: DataFrame, reader: Reader, least: int, dictionary: int, text: s
     frequent = pairs.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("key")
     held = context.broadcast(_filter_of(frequent))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, texts in _blocks(batches):
-            yield _suffix_rows(shared.value.read(lang, texts), dictionary, held.value)
-
-    return _texts(df, text, lang).mapInArrow(run, _ROW)
+    return _texts(df, text, lang).mapInArrow(lambda it: _suffix_rows(shared.value, _blocks(it), dictionary, held.value), _ROW)
 
 
 def three_way_counts(grid: np.ndarray, weight: np.ndarray, open_depth: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
