@@ -161,10 +161,11 @@ def mixed(df: DataFrame) -> DataFrame:
     """Every row as often as the mix takes it, columns as they are.
 
     Rows that share a doc_id are taken equally often, as often as the one the
-    mix takes most.
+    mix takes most. Copies are joined by sorting at every size; they grow with the
+    documents and are never broadcast.
     """
     copies = mixture(df).groupBy("doc_id").agg(F.max("copies").alias("__copies")).filter(F.col("__copies") > 0)
     copies = stored(copies.withColumnRenamed("doc_id", "__doc_id"), "mix-copies")
-    taken = df.join(copies, F.col("doc_id").eqNullSafe(F.col("__doc_id")))
+    taken = df.join(copies.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__doc_id")))
     each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__copy")
     return taken.select(*[F.col(f"`{c}`") for c in df.columns], each).drop("__copy")

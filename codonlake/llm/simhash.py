@@ -115,14 +115,16 @@ def keep_first(df: DataFrame) -> DataFrame:
     """The document of each component whose doc_id names it; columns as they are.
 
     Rows that repeat a doc_id are one document and stay once. Components of
-    null ids only keep one row.
+    null ids only keep one row. The ids kept are joined by sorting at every size,
+    so that nothing that grows with the documents is broadcast.
     """
     found = near_duplicates(df).filter(F.col("component_id").eqNullSafe(F.col("doc_id")))
     kept = stored(found.groupBy("doc_id").agg(F.count("*").alias("n")), "kept-documents")
     once, more = kept.filter("n = 1").select("doc_id"), kept.filter("n > 1").select("doc_id")
 
     def among(ids: DataFrame) -> DataFrame:
-        return df.join(ids.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+        named = ids.withColumnRenamed("doc_id", "__kept_id").hint("merge")
+        return df.join(named, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
 
     if more.isEmpty():
         return among(once)

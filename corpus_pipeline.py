@@ -35,7 +35,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, and whether they decode to its text."""
     vocabulary = pieces.Vocabulary.load()
-    rows = pieces.with_text(pieces.encoded(docs, model=vocabulary), model=vocabulary)
+    read = docs.select("doc_id", "lang", "source", "text")  # other columns may bear the names added here
+    rows = pieces.with_text(pieces.encoded(read, model=vocabulary), model=vocabulary)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return rows.select(
         "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip")
