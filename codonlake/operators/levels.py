@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from codonlake.alphabets import ALPHABET_SIZES
 from codonlake.functions import sequence_entropy
 from codonlake.operators.binding import compute_once
+from codonlake.operators.chunks import chunked
 
 CHUNK_SYMBOLS = 100_000
 
@@ -50,14 +51,7 @@ def symbol_counts(seqs: DataFrame, key: str = "seq_id", seq: str = "seq") -> Dat
     Sequences are cut into chunks and counted there, so only a few rows per
     chunk are shuffled and a very long sequence is counted piece by piece.
     """
-    text = F.upper(F.col(seq))
-    chunks = seqs.select(
-        key,
-        text.alias("_text"),
-        F.explode(
-            F.sequence(F.lit(0), F.floor(F.greatest(F.length(text) - 1, F.lit(0)) / CHUNK_SYMBOLS).cast("int"))
-        ).alias("_chunk"),
-    ).select(key, F.col("_text").substr(F.col("_chunk") * CHUNK_SYMBOLS + 1, F.lit(CHUNK_SYMBOLS)).alias("_text"))
+    chunks = chunked(seqs, CHUNK_SYMBOLS, key=key, seq=seq).select(key, F.upper("bases").alias("_text"))
     counts = F.transform(
         F.array_distinct(F.split("_text", "")),
         lambda c: F.struct(

@@ -6,21 +6,19 @@ two left-over bases are dropped. Coordinates are 1-based, inclusive and counted
 on the strand that is read.
 
 A sequence of one tile is searched inside its row, so nothing is shuffled however
-many sequences there are. A longer one is cut into tiles that Spark deals out;
-every tile reports the runs that begin in it, reading past its end where a run
-does.
+many sequences there are. Longer ones become a table of chunks (see ``chunks``);
+whether there are any is asked of the lengths first, which costs a scan of the input.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from codonlake.alphabets import DEFAULT_MIN_NT_LENGTH, DEFAULT_TABLE_ID, stop_codons
 from codonlake.functions import has_start, has_stop, reverse_complement, translate_codons
+from codonlake.operators.chunks import LOOKUP_BASES, chunked, orfs_of_long_sequences
 
 TILE_BASES = 3_000_000
-MAX_BASES = 2_100_000_000  # a row holds no more
-LOOKUP_TILE_BASES = 100_000
 
 
 def six_frames(seqs: DataFrame) -> DataFrame:
@@ -64,106 +62,57 @@ def find_orfs(
         raise ValueError("tile_bases must be a positive multiple of 3")
     if min_nt_length < 1:
         raise ValueError("min_nt_length must be positive")
-    if seqs.isStreaming:
-        found = _in_row(_tile_orfs(seqs, table_id, min_nt_length, None))
+    found, long = None, None
+    if not seqs.isStreaming:
+        long = seqs.where(f"length(seq) > {tile_bases}")
+        long = None if long.isEmpty() else long
+    if long is None:
+        found = _in_row(seqs, table_id, min_nt_length)
     else:
-        short, long = (seqs.where(f"length(seq) {sign} {tile_bases}") for sign in ("<=", ">"))
-        found = _in_row(_tile_orfs(short, table_id, min_nt_length, None)).unionByName(
-            _over_tiles(_tile_orfs(long, table_id, min_nt_length, tile_bases))
+        found = _in_row(seqs.where(f"length(seq) <= {tile_bases}"), table_id, min_nt_length).unionByName(
+            orfs_of_long_sequences(long, tile_bases, table_id, min_nt_length)
         )
     orfs = found.selectExpr(
         "seq_id as parent_id",
         "concat('orf', number) as orf_id",
-        "cast(orf.at as int) as start",
-        "cast(orf.at as int) + length(orf.nt_sequence) - 1 as end",
-        "orf.strand",
-        "orf.frame",
-        "orf.nt_sequence",
+        "cast(start as int) as start",
+        "cast(start as int) + length(nt_sequence) - 1 as end",
+        "strand",
+        "frame",
+        "nt_sequence",
         f"{table_id} as table_id",
     )
     return _from_first_start(orfs, table_id, min_nt_length) if require_start else orfs
 
 
-def _in_row(lists: DataFrame) -> DataFrame:
-    """ORFs numbered by their place in the only list of their sequence."""
-    return lists.selectExpr("seq_id", "posexplode(orfs) as (pos, orf)").selectExpr("seq_id", "pos + 1L as number", "orf")
-
-
-def _over_tiles(lists: DataFrame) -> DataFrame:
-    """ORFs numbered by strand, frame, tile and place: places in a tile plus the counts of all that stands before.
-
-    Only one small row for each tile, strand and frame is shuffled for the counts.
-    """
-    key = ["seq_id", "strand", "frame", "tile"]
-    grouped = lists.selectExpr(
-        "seq_id", "tile", "inline(array(%s))" % ", ".join(
-            f"named_struct('strand', '{s}', 'frame', {f}, 'orfs', filter(orfs, o -> o.strand = '{s}' and o.frame = {f}))"
-            for s in "+-"
-            for f in (1, 2, 3)
-        )
-    )
-    before = Window.partitionBy("seq_id").orderBy("strand", "frame", "tile").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = grouped.select(*key, F.size("orfs").cast("long").alias("n")).select(
-        *key, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
-    )
-    placed = grouped.where("size(orfs) > 0").join(offsets, key)
-    return placed.selectExpr("seq_id", "offset", "posexplode(orfs) as (pos, orf)").selectExpr(
-        "seq_id", "offset + pos + 1 as number", "orf"
-    )
-
-
-def _tile_orfs(seqs: DataFrame, table_id: int, min_nt_length: int, tile_bases: int | None) -> DataFrame:
-    """``(seq_id, tile, orfs)``: the ORFs that begin in each tile, by strand, frame and start; one tile without a size."""
-    n_tiles = f"cast(greatest(1, ceil(length(seq) / {tile_bases})) as int)" if tile_bases else "1"
-    spread, tile_bases = bool(tile_bases), tile_bases or MAX_BASES
+def _in_row(seqs: DataFrame, table_id: int, min_nt_length: int) -> DataFrame:
+    """ORFs of each sequence, searched by one regular expression a frame and numbered by their place in its list."""
     # The larger expressions are SQL text: building them call by call would
     # cost more driver time than a small query takes.
     run = _run_pattern(table_id)
-    is_stop = f"in ({', '.join(repr(c) for c in stop_codons(table_id)) or 'null'})"
-    tiles = seqs.selectExpr(
-        "seq_id",
-        "upper(seq) as plus",
-        "reverse(translate(upper(seq), 'ACGT', 'TGCA')) as minus",
-        f"{n_tiles} as tiles",
-    ).selectExpr("seq_id", "plus", "minus", "tiles", "explode(sequence(0, tiles - 1)) as tile")
-
-    # Per frame: the bases of this tile; how many of them finish a run that an
-    # earlier tile began; what is left, and the rest of the run it ends with.
+    strands = seqs.selectExpr("seq_id", "upper(seq) as plus", "reverse(translate(upper(seq), 'ACGT', 'TGCA')) as minus")
     frames = ", ".join(
-        f"named_struct('strand', '{s}', 'frame', {f}, 'all', {'plus' if s == '+' else 'minus'})"
+        f"named_struct('strand', '{s}', 'frame', {f}, "
+        f"'runs', regexp_extract_all(substring({'plus' if s == '+' else 'minus'}, {f}), '{run}', 0))"
         for s in "+-"
         for f in (1, 2, 3)
     )
-    pieces = f"""
-      transform(transform(transform(array({frames}),
-        f -> named_struct('f', f, 'first', tile * {tile_bases} + f.frame,
-          'chunk', substring(f.all, tile * {tile_bases} + f.frame, {tile_bases}))),
-        c -> named_struct('c', c, 'skip',
-          if(tile = 0 or substring(c.f.all, c.first - 3, 3) {is_stop}, 0,
-             length(regexp_extract(c.chunk, '^{run}', 0))))),
-        p -> named_struct('strand', p.c.f.strand, 'frame', p.c.f.frame, 'start', p.c.first + p.skip, 'bases',
-          concat(substring(p.c.chunk, p.skip + 1),
-            if(tile = tiles - 1 or p.skip = length(p.c.chunk) or substring(p.c.chunk, -3) {is_stop}, '',
-               regexp_extract(substring(p.c.f.all, p.c.first + {tile_bases}), '^{run}', 0)))))"""
-    searched = f"""
-      transform(pieces, p -> named_struct('strand', p.strand, 'frame', p.frame, 'start', p.start,
-        'runs', regexp_extract_all(p.bases, '{run}', 0)))"""
     # Offsets are kept as text: appending to a string is much cheaper in this
     # fold than appending to an array.
     long_runs = f"""
       filter(zip_with(
         filter(p.runs, r -> length(r) >= {min_nt_length}),
-        aggregate(p.runs, named_struct('at', p.start, 'kept', ''),
+        aggregate(p.runs, named_struct('at', p.frame, 'kept', ''),
           (a, r) -> named_struct('at', a.at + length(r), 'kept',
             if(length(r) >= {min_nt_length}, concat(a.kept, a.at, ','), a.kept)),
           a -> split(a.kept, ',')),
         (nt, at) -> named_struct('strand', p.strand, 'frame', p.frame, 'at', at, 'nt_sequence', nt)),
         x -> x.nt_sequence is not null)"""
-    cut = tiles.selectExpr("seq_id", "tile", f"{pieces} as pieces")
-    if spread:
-        cut = cut.repartition("seq_id", "tile")
-    return cut.selectExpr("seq_id", "tile", f"{searched} as pieces").selectExpr(
-        "seq_id", "tile", f"flatten(transform(pieces, p -> {long_runs})) as orfs"
+    lists = strands.selectExpr("seq_id", f"array({frames}) as frames").selectExpr(
+        "seq_id", f"posexplode(flatten(transform(frames, p -> {long_runs}))) as (pos, orf)"
+    )
+    return lists.selectExpr(
+        "seq_id", "pos + 1L as number", "cast(orf.at as long) as start", "orf.strand", "orf.frame", "orf.nt_sequence"
     )
 
 
@@ -188,63 +137,52 @@ def annotate_orfs(orfs: DataFrame, table_id: int = DEFAULT_TABLE_ID) -> DataFram
 
 
 def attach_orf_sequences(
-    orfs: DataFrame, seqs: DataFrame, tile_bases: int = LOOKUP_TILE_BASES
+    orfs: DataFrame, seqs: DataFrame, tile_bases: int = LOOKUP_BASES, index: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Look up the nucleotides of ORF coordinates: ``(found, orphans)``.
 
     ``orfs`` is keyed by (parent_id, orf_id). Parents are cut into tiles and an
     ORF meets only the tiles it covers, so neither a long parent nor one with
-    very many ORFs burdens a single task. An end beyond the parent is clipped.
-    ``orphans`` are the ORFs whose parent is unknown.
+    very many ORFs burdens a single task. Only the strand that is stored is cut; an ORF of the
+    other one is turned once it is together. An end beyond the parent is clipped.
+    ``orphans`` are the ORFs whose parent is unknown. ``index`` is a table of
+    ``chunks.store_chunk_index`` with tiles of ``tile_bases``; its bases are not shuffled.
     """
     key = ["parent_id", "orf_id"]
-    parents = seqs.select(F.col("seq_id").alias("parent_id"))
-    known = orfs.drop("nt_sequence").join(parents, "parent_id", "left_semi")
-
-    def tile_of(position: Column) -> Column:
-        return F.floor((position - 1) / tile_bases).cast("int")
-
+    parents = seqs.groupBy(F.col("seq_id").alias("parent_id")).agg(F.coalesce(F.max(F.length("seq")), F.lit(0)).alias("_length"))
+    known = orfs.drop("nt_sequence").join(parents, "parent_id")
     bounds = (F.col("start") < 1) | (F.col("end") < F.col("start"))
-    start = F.when(bounds, F.raise_error(F.lit("ORF coordinates out of order or below 1")).cast("int")).otherwise(
-        F.col("start")
+    start = F.when(bounds, F.raise_error(F.lit("ORF coordinates out of order or below 1")).cast("int")).otherwise(F.col("start"))
+    turned = F.col("strand") == "-"
+    sides = known.select(*key, "strand", "_length", start.alias("_start"), F.col("end").alias("_end")).select(
+        *key,
+        "strand",
+        F.greatest(F.when(turned, F.col("_length") - F.col("_end") + 1).otherwise(F.col("_start")), F.lit(1)).alias("first"),
+        F.least(F.when(turned, F.col("_length") - F.col("_start") + 1).otherwise(F.col("_end")), F.col("_length")).alias("last"),
     )
-    covered = known.select(
-        *key, "strand", "start", "end", F.explode(F.sequence(tile_of(start), tile_of(F.col("end")))).alias("tile")
-    )
-    tiles = (
-        seqs.select(
-            F.col("seq_id").alias("parent_id"),
-            F.inline(
-                F.array(
-                    F.struct(F.lit("+").alias("strand"), F.col("seq").alias("bases")),
-                    F.struct(F.lit("-").alias("strand"), reverse_complement("seq").alias("bases")),
-                )
-            ),
-        )
-        .where(F.length("bases") > 0)
-        .select(
-            "parent_id", "strand", "bases", F.explode(F.sequence(F.lit(0), tile_of(F.length("bases")))).alias("tile")
-        )
-        .select(
-            "parent_id",
-            "strand",
-            "tile",
-            F.col("bases").substr(F.col("tile") * tile_bases + 1, F.lit(tile_bases)).alias("bases"),
-        )
+
+    def tile_of(position: str) -> Column:
+        return F.floor((F.col(position) - 1) / tile_bases).cast("int")
+
+    covered = sides.where("first <= last").select(
+        *key, "strand", "first", "last", F.explode(F.sequence(tile_of("first"), tile_of("last"))).alias("chunk")
     )
-    offset = F.col("tile") * tile_bases
-    first = F.greatest(F.col("start") - offset, F.lit(1))
-    last = F.least(F.col("end") - offset, F.lit(tile_bases))
-    parts = covered.join(tiles, ["parent_id", "strand", "tile"]).select(
-        *key, "tile", F.col("bases").substr(first, last - first + 1).alias("part")
+    tiles = (chunked(seqs, tile_bases) if index is None else index).select("seq_id", "chunk", "bases")
+    # The tiles are the larger side by far: with an index they stay where they are.
+    covered = covered.withColumnRenamed("parent_id", "seq_id")
+    covered = covered if index is None else covered.hint("merge")
+    offset = F.col("chunk") * tile_bases
+    low = F.greatest(F.col("first") - offset, F.lit(1))
+    high = F.least(F.col("last") - offset, F.lit(tile_bases))
+    parts = covered.join(tiles, ["seq_id", "chunk"]).select(
+        F.col("seq_id").alias("parent_id"), "orf_id", "strand", "chunk", F.col("bases").substr(low, high - low + 1).alias("part")
     )
-    joined = parts.groupBy(*key).agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("tile", "part"))), lambda x: x["part"]), ""
-        ).alias("nt_sequence")
+    whole = F.array_join(F.array_sort(F.collect_list(F.struct("chunk", "part"))).getField("part"), "")
+    joined = parts.groupBy(*key, "strand").agg(whole.alias("_whole")).select(
+        *key, F.when(F.col("strand") == "-", reverse_complement("_whole")).otherwise(F.col("_whole")).alias("nt_sequence")
     )
-    found = known.join(joined, key, "left").withColumn("nt_sequence", F.coalesce("nt_sequence", F.lit("")))
-    return found, orfs.join(parents, "parent_id", "left_anti")
+    found = known.drop("_length").join(joined, key, "left").withColumn("nt_sequence", F.coalesce("nt_sequence", F.lit("")))
+    return found, orfs.join(parents.select("parent_id"), "parent_id", "left_anti")
 
 
 def sequences_without_orfs(seqs: DataFrame, orfs: DataFrame) -> DataFrame:

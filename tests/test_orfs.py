@@ -1,10 +1,12 @@
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from codonlake.alphabets import genetic_code, stop_codons
 from codonlake.operators.matching import match_annotated
+from codonlake.operators.chunks import chunked, store_chunk_index
 from codonlake.operators.orfs import annotate_orfs, attach_orf_sequences, find_orfs, sequences_without_orfs, six_frames
 from codonlake.operators.proteins import derive_proteins, translate_orfs, translation_mismatches
 from codonlake.operators.validation import orf_problem, protein_problem, split_valid
@@ -79,11 +81,32 @@ def test_dense_ids_and_lower_case(spark):
     assert [r["orf_id"] for r in by_place] == [f"orf{i + 1}" for i in range(len(rows))]
 
 
-def test_no_shuffle_to_find_orfs(spark, capsys):
-    """Nothing but tiles of long sequences is dealt out, once for the ORFs and once for their counts."""
-    annotate_orfs(find_orfs(frame_of(spark, {"s": "ATG"}))).explain()
-    branch = capsys.readouterr().out.split("Union")[1].split("SortMergeJoin")[0].split("BroadcastHashJoin")[0]
-    assert "Generate" in branch and "Exchange" not in branch
+def test_one_scan_and_no_shuffle_without_long_sequences(spark, tmp_path, capsys):
+    frame_of(spark, random_sequences()).write.parquet(str(tmp_path / "seqs"))
+    annotate_orfs(find_orfs(spark.read.parquet(str(tmp_path / "seqs")))).explain()
+    plan = capsys.readouterr().out
+    assert "Generate" in plan and "Exchange" not in plan and plan.count("Scan parquet") == 1
+
+
+def test_long_sequences_share_ids_and_letters(spark):
+    """Repeated and null ids, and letters of more than one byte, across chunks."""
+    rng = random.Random(8)
+    rows = [("twice", "".join(rng.choice("ACGTNé") for _ in range(n))) for n in (100, 137)]
+    rows += [(None, "".join(rng.choice("acgtACGT") for _ in range(200))), ("none", None), ("empty", "")]
+    seqs = spark.createDataFrame(rows, "seq_id string, seq string")
+    whole, cut = (find_orfs(seqs, min_nt_length=9, tile_bases=n).collect() for n in (300, 21))
+    order = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, whole), key=order) == sorted(map(tuple, cut), key=order) and len(whole) > 20
+
+
+def test_chunks(spark):
+    rows = [("a", "acgtacg"), ("b", "éßACG"), ("e", ""), ("n", None)]
+    seqs = spark.createDataFrame(rows, "seq_id string, seq string")
+    got = {(r["seq_id"], r["chunk"]): (r["chunks"], r["length"], r["bases"]) for r in chunked(seqs, 3, 2).collect()}
+    assert got == {
+        ("a", 0): (3, 7, "acgta"), ("a", 1): (3, 7, "tacg"), ("a", 2): (3, 7, "g"),
+        ("b", 0): (2, 5, "éßACG"), ("b", 1): (2, 5, "CG"), ("e", 0): (1, 0, ""), ("n", 0): (1, None, None),
+    }
 
 
 def test_require_start(spark):
@@ -113,6 +136,32 @@ def test_lookup_by_coordinate(spark, tile_bases):
     assert [(r["parent_id"], r["orf_id"]) for r in orphans.collect()] == [("nowhere", "orf1")]
 
 
+def test_lookup_in_a_stored_index(spark, capsys):
+    """The bases are read from the buckets of the index and not shuffled."""
+    seqs = frame_of(spark, random_sequences(15))
+    orfs = find_orfs(seqs, min_nt_length=30)
+    name = f"chunk_index_{uuid.uuid4().hex}"
+    index = store_chunk_index(seqs, name, 50, buckets=4)
+    try:
+        found, _ = attach_orf_sequences(orfs, seqs, 50, index)
+        truth = {(r["parent_id"], r["orf_id"]): r["nt_sequence"] for r in orfs.collect()}
+        assert {(r["parent_id"], r["orf_id"]): r["nt_sequence"] for r in found.collect()} == truth
+        capsys.readouterr()
+        found.explain()
+        lines = capsys.readouterr().out.splitlines()
+        scan = next(k for k, line in enumerate(lines) if name in line)
+        depth = lambda line: len(line) - len(line.lstrip(" :+-*"))
+        above, at = [], depth(lines[scan])
+        for line in reversed(lines[:scan]):
+            if depth(line) < at:
+                above.append(line)
+                at = depth(line)
+        join = next(k for k, line in enumerate(above) if "SortMergeJoin" in line)
+        assert not any("Exchange" in line for line in above[:join])
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def test_sequences_without_orfs(spark):
     seqs = frame_of(spark, {"short": "ATGTAA", "long": "ATG" + "GCA" * 40})
     assert [r["seq_id"] for r in sequences_without_orfs(seqs, find_orfs(seqs)).collect()] == ["short"]
