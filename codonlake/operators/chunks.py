@@ -152,17 +152,24 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 def orfs_of_long_sequences(seqs: DataFrame, size: int, table_id: int, min_nt_length: int) -> DataFrame:
     """``(seq_id, number, start, strand, frame, nt_sequence)`` of ORFs, numbered by strand, frame and start.
 
-    ``size`` is a multiple of 3. The chunks are stored once and read twice, for the
-    summaries and for the ORFs inside them. ORFs across chunks are put together from their pieces, one
-    group each; only those and the summaries are shuffled, and the ORFs inside for their numbers if
-    there are more summaries than Spark broadcasts.
+    The chunks are dealt out and stored once.
     """
     numbered = seqs.select(F.monotonically_increasing_id().alias("row"), F.col("seq_id").cast("string").alias("seq_id"), "seq")
     rows = numbered.select(F.struct("row", "seq_id").alias("id"), "seq")
     chunks = chunked(rows, size, 2, key="id").select(
         "id.row", "id.seq_id", "chunk", "chunks", "length", F.upper("bases").alias("bases")
     )
-    chunks = stored(chunks.repartition("row", "chunk"), "sequence-chunks")
+    return orfs_of_chunks(stored(chunks.repartition("row", "chunk"), "sequence-chunks"), size, table_id, min_nt_length)
+
+
+def orfs_of_chunks(chunks: DataFrame, size: int, table_id: int, min_nt_length: int) -> DataFrame:
+    """``(seq_id, number, start, strand, frame, nt_sequence)`` of ``chunks (row, seq_id, chunk, chunks, length, bases)``.
+
+    ``size`` is a multiple of 3 and chunks hold two symbols more than it. ``row`` tells sequences apart.
+    A stored table is read twice, for the summaries and for the ORFs inside chunks. ORFs across chunks
+    are put together from their pieces, one group each; only those and the summaries are shuffled, and the
+    ORFs inside for their numbers if there are more summaries than Spark broadcasts.
+    """
     edges = stored(chunks.mapInArrow(lambda it: _summaries(it, size, table_id, min_nt_length), _EDGES), "chunk-edges")
 
     line = ["row", "strand", "frame"]

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from codonlake.alphabets import DEFAULT_MIN_NT_LENGTH, DEFAULT_TABLE_ID, stop_codons
 from codonlake.functions import has_start, has_stop, reverse_complement, translate_codons
-from codonlake.operators.chunks import LOOKUP_BASES, chunked, orfs_of_long_sequences
+from codonlake.operators.chunks import LOOKUP_BASES, chunked, orfs_of_chunks, orfs_of_long_sequences
 
 TILE_BASES = 3_000_000
 
@@ -85,6 +85,27 @@ def find_orfs(
     return _from_first_start(orfs, table_id, min_nt_length) if require_start else orfs
 
 
+def find_orfs_in_chunks(
+    chunks: DataFrame, size: int, table_id: int = DEFAULT_TABLE_ID, min_nt_length: int = DEFAULT_MIN_NT_LENGTH
+) -> DataFrame:
+    """ORFs of stored chunks, as ``sources.fasta.read_fasta_chunks`` gives them with an overlap of 2.
+
+    The same rows as ``find_orfs`` on whole sequences, but places are longs: a sequence may be longer than a row.
+    """
+    if size <= 0 or size % 3:
+        raise ValueError("size must be a positive multiple of 3")
+    return orfs_of_chunks(chunks, size, table_id, min_nt_length).selectExpr(
+        "seq_id as parent_id",
+        "concat('orf', number) as orf_id",
+        "start",
+        "start + length(nt_sequence) - 1 as end",
+        "strand",
+        "frame",
+        "nt_sequence",
+        f"{table_id} as table_id",
+    )
+
+
 def _in_row(seqs: DataFrame, table_id: int, min_nt_length: int) -> DataFrame:
     """ORFs of each sequence, searched by one regular expression a frame and numbered by their place in its list."""
     # The larger expressions are SQL text: building them call by call would

@@ -112,6 +112,7 @@ FROM strands, (VALUES (1),(2),(3)) AS f(frame)""",
     "reverse_complements": f"""
 WITH {DNA} SELECT seq_id, md5(reverse(translate(seq, 'ACGT', 'TGCA'))) AS rc_md5 FROM dna""",
     "open_reading_frames": f"WITH {ORFS} SELECT {ORF_ROW}, {FLAGS} FROM orfs",
+    "open_reading_frames_in_chunks": f"WITH {ORFS} SELECT {ORF_ROW}, {FLAGS} FROM orfs",
     "open_reading_frames_long": f"WITH {orfs_cte(min_nt=180)} SELECT {ORF_ROW} FROM orfs",
     "open_reading_frames_table_4": f"WITH {orfs_cte(table_id=4)} SELECT {ORF_ROW} FROM orfs",
     "open_reading_frames_from_start": f"""
@@ -333,6 +334,7 @@ SELECT parent_id || '/' || orf_id AS orf_id, CAST(predicted_label AS VARCHAR) AS
 FROM predicted""",
     # files
     "fasta_round_trip": f"WITH {DNA} SELECT seq_id, md5(seq) AS seq_md5 FROM dna",
+    "fasta_chunks_round_trip": f"WITH {DNA} SELECT seq_id, md5(seq) AS seq_md5 FROM dna",
     "fasta_gzip_round_trip": f"WITH {DNA} SELECT seq_id, md5(seq) AS seq_md5 FROM dna",
     "fasta_all_records": f"""
 SELECT source AS seq_id, count(*) AS n, CAST(sum(length({LETTERS_OF})) AS BIGINT) AS bases FROM documents GROUP BY source""",

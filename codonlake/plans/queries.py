@@ -26,6 +26,7 @@ from codonlake.operators.orfs import (
     annotate_orfs,
     attach_orf_sequences,
     find_orfs,
+    find_orfs_in_chunks,
     sequences_without_orfs,
     six_frames,
 )
@@ -597,6 +598,25 @@ def fasta_round_trip(spark, sf_dir):
     return fasta.read_fasta(spark, path).select("seq_id", F.md5("seq").alias("seq_md5"))
 
 
+@query
+def fasta_chunks_round_trip(spark, sf_dir):
+    """Records read as chunks of 1 kb and put together again."""
+    path = scratch_path(spark, "fasta")
+    fasta.write_fasta(d.sequences(spark, sf_dir), path)
+    chunks = fasta.read_fasta_chunks(spark, path, 1000)
+    parts = F.array_sort(F.collect_list(F.struct("chunk", "bases"))).getField("bases")
+    return chunks.groupBy("row", "seq_id").agg(F.md5(F.array_join(parts, "")).alias("seq_md5")).drop("row")
+
+
+@query
+def open_reading_frames_in_chunks(spark, sf_dir):
+    """ORFs of FASTA records that were never whole rows: chunks of 999 bases."""
+    path = scratch_path(spark, "fasta")
+    fasta.write_fasta(d.sequences(spark, sf_dir), path)
+    found = find_orfs_in_chunks(fasta.read_fasta_chunks(spark, path, 999, overlap=2), 999)
+    return orf_rows(annotate_orfs(found), "has_start_codon", "has_stop_codon")
+
+
 @query
 def fasta_gzip_round_trip(spark, sf_dir):
     path = scratch_path(spark, "fasta-gz")
