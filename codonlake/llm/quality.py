@@ -4,8 +4,10 @@ Words and pairs of neighbouring words fall into ``buckets`` by hash. Two multino
 counted over all documents: one over the trusted target (documents that the
 strict rules below let pass), one over the raw corpus. A document's score is the
 mean, over its words and pairs, of the log ratio of the two. The cut comes from the
-scores of the trusted target: a document fails if its score lies further below their
-mean than ``DEVIATIONS`` standard deviations of a mean over as many words and pairs.
+scores of the trusted target. Their variance has two parts: between documents, whatever
+their length, and of the mean over n words and pairs, which falls with n. A document fails if its
+score favours the corpus (is negative) and lies further below the mean of the trusted ones than
+``DEVIATIONS`` standard deviations at its length.
 Only built-in functions run; the table of log ratios has ``buckets`` entries whatever
 the corpus. Texts are read twice, nothing but the counts of the buckets is shuffled,
 and scored rows are stored once, as the cut is known only when all have a score.
@@ -146,22 +148,27 @@ def scored(df: DataFrame, text: str = "text", buckets: int = BUCKETS) -> DataFra
 def judged(rows: DataFrame, deviations: float = DEVIATIONS) -> DataFrame:
     """Add ``kept`` to the struct ``__quality`` of stored rows of ``scored``.
 
-    The scores of the trusted documents that the base rules let pass have a mean, and
-    their squared distances from it, times the number of words and pairs, have
-    one too: the variance of one word or pair. Without trusted documents
-    all scores are 0 and the base rules alone decide.
+    The squared distances d of trusted scores from their mean are ``between + within / n`` on average over n
+    words and pairs. The averages of d and of n d over the trusted documents give both parts; with one
+    length only all of it is within. Without trusted documents all scores are 0 and the base rules alone decide.
     """
     q = lambda c: F.col(f"__quality.{c}")
-    terms, score = 2 * q("n_words") - 1, q("score")
+    terms, score = F.greatest(2 * q("n_words") - 1, F.lit(1)).cast("double"), q("score")
     target = rows.filter(~q("base_failed") & _trusted(q("n_words"), q("n_symbols"), q("word_chars"), q("n_dup_lines")))
     mean = target.agg(F.avg(score)).scalar()
-    centred = rows.select("*", F.coalesce(mean, F.lit(0.0)).alias("__mean"))
-    spread = target.select(terms.alias("n"), score.alias("s"), mean.alias("m")).agg(
-        F.sqrt(F.avg(F.col("n") * (F.col("s") - F.col("m")) ** 2))
+    apart = target.select(terms.alias("n"), ((score - mean) ** 2).alias("d"))
+    sums = apart.agg(
+        F.avg("d").alias("d"), F.avg(F.col("n") * F.col("d")).alias("nd"), F.avg("n").alias("n"), F.avg(1 / F.col("n")).alias("h")
     )
-    least = F.lit(-1e-9) - deviations * F.coalesce(spread.scalar(), F.lit(0.0))
-    kept = ~q("base_failed") & ((score - F.col("__mean")) * F.sqrt(F.greatest(terms, F.lit(1))) >= least)
-    return centred.withColumn("__quality", F.col("__quality").withField("kept", kept)).drop("__mean")
+    excess = F.col("n") * F.col("h") - 1  # 0 if all lengths are equal
+    between = F.when(excess > 1e-9, F.least(F.greatest((F.col("nd") * F.col("h") - F.col("d")) / excess, F.lit(0.0)), F.col("d"))).otherwise(0.0)
+    parts = sums.withColumn("between", between).select(
+        F.struct("between", F.greatest(F.col("nd") - F.col("between") * F.col("n"), F.lit(0.0)).alias("within")).alias("v")
+    )
+    told = rows.select("*", F.coalesce(mean, F.lit(0.0)).alias("__mean"), parts.scalar().alias("__v"))
+    spread = F.sqrt(F.coalesce(F.col("__v.between") + F.col("__v.within") / terms, F.lit(0.0)))
+    kept = ~q("base_failed") & ((score >= 0) | (score - F.col("__mean") >= F.lit(-1e-9) - deviations * spread))
+    return told.withColumn("__quality", F.col("__quality").withField("kept", kept)).drop("__mean", "__v")
 
 
 def quality_table(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -117,6 +117,28 @@ def test_quality_cut_lies_between_prose_and_symbols(spark):
     assert {r["doc_id"] for r in quality.keep_good(frame(spark, good + junk)).collect()} == set(range(200))
 
 
+def test_quality_cut_does_not_fall_on_length(spark):
+    """Prose of another mix of words than the target's is kept at every length, symbols are not; the cut is recomputed."""
+    rng = random.Random(9)
+    common, rare = prose(1, 40).split(), prose(2, 40).split()
+    text = lambda n, share: " ".join(rng.choice(rare if rng.random() < share else common) for _ in range(n))
+    good = [text(60 + 2 * k, rng.random() * 0.4) for k in range(200)]
+    long = [text(n, 0.35) for n in (60, 600, 6000, 20000)]
+    junk = [" ".join(w + "#$%" if rng.random() < 0.3 else w for w in text(n, 0.1).split()) for n in (60, 600, 6000, 20000)]
+    table = quality.quality_table(frame(spark, good + long + junk)).collect()
+    got = {r["doc_id"]: r for r in table}
+    assert all(got[k]["kept"] for k in range(204)) and not any(got[k]["kept"] for k in range(204, 208))
+    t = [(2 * r["n_words"] - 1, r["score"]) for r in table if not r["base_failed"] and r["doc_id"] < 204 and r["n_dup_lines"] == 0]
+    n, s = np.array(t).T
+    d = (s - s.mean()) ** 2
+    between = ((n * d).mean() * (1 / n).mean() - d.mean()) / (n.mean() * (1 / n).mean() - 1)
+    between = min(max(between, 0), d.mean())
+    within = max((n * d).mean() - between * n.mean(), 0)
+    for r in table:
+        spread = (between + within / (2 * r["n_words"] - 1)) ** 0.5
+        assert r["kept"] == (not r["base_failed"] and (r["score"] >= 0 or r["score"] - s.mean() >= -6 * spread - 1e-9))
+
+
 def test_secret_base_spans(spark):
     assign = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     got = {r["doc_id"]: r for r in secrets.secret_table(frame(spark, ODD)).collect()}
