@@ -187,13 +187,15 @@ class Vocabulary:
         return out
 
 
-@functools.cache
-def _recent() -> regex.Pattern:
-    """Finds code points without a category in the Unicode tables of this Python; newer tables may give them one."""
-    free = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"]
-    starts = [c for k, c in enumerate(free) if not k or free[k - 1] != c - 1]
-    ends = [c for k, c in enumerate(free) if k + 1 == len(free) or free[k + 1] != c + 1]
-    return regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends)) + "]")
+_known_letters: set[str] = set()
+
+
+def _has_recent(text: str) -> bool:
+    """Whether a code point has no category in the Unicode tables of this Python; newer tables may give it one."""
+    new = set(text) - _known_letters
+    recent = {c for c in new if unicodedata.category(c) == "Cn"}
+    _known_letters.update(new - recent)
+    return bool(recent)
 
 
 @functools.cache
@@ -213,7 +215,7 @@ def cut(text: str, special: dict[str, int]) -> list[str]:
         return [w for k, part in enumerate(parts) for w in ([part] if k % 2 else cut(part, {}))]
     if text.isascii():
         return _ASCII_WORD.findall(text.lower())
-    if _recent().search(text):
+    if _has_recent(text):
         return _library_cut()(text)
     # Sigma is lower-cased without regard to where it stands.
     return _WORD.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
