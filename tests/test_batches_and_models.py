@@ -213,6 +213,8 @@ def test_training(spark, rows, tmp_path, kind, params):
     assert all(abs(r["probability_in_genbank"] + r["probability_not_in_genbank"] - 1) < 1e-9 for r in predictions)
     loaded = {r["orf_id"]: r["prob_in_genbank"] for r in jobs.score(rows, path, str(tmp_path / "out")).collect()}
     assert all(loaded[r["orf_id"]] == r["probability_in_genbank"] for r in predictions)
+    again = OrfClassifier.load(path)
+    assert (again.model_type, again.seed, again.params) == (kind, 43, params)
     written = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "out"))
     assert written.columns == ["orf_id", "predicted_label", "prob_not_in_genbank", "prob_in_genbank", "in_genbank"]
     assert written.count() == 400

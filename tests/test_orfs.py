@@ -200,7 +200,7 @@ CDS = "MTRWPEHVDLNYIGACFSQKHPWDRT"
         ("MTRWP", ["MTRWP"], True),
         ("WDRT", [CDS], False),
         ("*", ["*"], True),
-        (CDS, ["MQLLVLSCGQ", "XX", CDS], True),
+        (CDS, ["MWKHDREYTF", "XX", CDS], True),
     ],
 )
 def test_c_terminal_match(spark, orf, cds, hit):

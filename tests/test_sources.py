@@ -81,7 +81,7 @@ FEATURES             Location/Qualifiers
                      /locus_tag="g2"
      CDS             complement(join(<4..9,
                      20..>30))
-                     /translation="MQLL"
+                     /translation="MWKH"
      CDS             join(5..7,AB1234.1:900..1000,12..14)
                      /pseudo
 ORIGIN
@@ -106,7 +106,7 @@ def test_genbank(spark, tmp_path, suffix):
     cds = [tuple(r) for r in genbank.read_cds(spark, path).collect()]
     assert cds == [
         ("ONE.1", 9, 36, "+", "MTRWPEHVDLNYIGACFSQKHPWDRT"),
-        ("ONE.1", 3, 30, "-", "MQLL"),
+        ("ONE.1", 3, 30, "-", "MWKH"),
         ("ONE.1", 4, 1000, "+", ""),
     ]
 
