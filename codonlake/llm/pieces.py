@@ -18,6 +18,7 @@ byte pieces. Vocabulary files are read by the driver; their path is a parameter.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterable, Iterator
 
@@ -89,17 +90,35 @@ class Vocabulary:
         )
 
     def _merged(self, text: str) -> tuple[list[int], tuple[int, int] | None]:
-        """BPE of a short text by repeated merging, and the last merge. Characters without a piece are negative."""
-        parts, last = [self.ids.get(c, -1 - ord(c)) for c in text], None
-        words = list(text)
-        while True:
-            found = [(self.ranks[m], k) for k in range(len(words) - 1) if (m := self.ids.get(words[k] + words[k + 1])) is not None]
-            if not found:
-                return parts, last
-            k = min(found)[1]
-            last = (parts[k], parts[k + 1])
-            words[k : k + 2] = [words[k] + words[k + 1]]
-            parts[k : k + 2] = [self.ids[words[k]]]
+        """BPE of a text by merging, lowest rank first and of equal ones the leftmost, and the last merge.
+
+        Merges wait in a queue, so the time is near n log n. Characters without a piece are negative.
+        """
+        parts, last, n = [self.ids.get(c, -1 - ord(c)) for c in text], None, len(text)
+        words, after, before = list(text), list(range(1, n + 1)), list(range(-1, n - 1))
+
+        def ask(k: int) -> None:
+            made = self.ids.get(words[k] + words[after[k]])
+            if made is not None:
+                heapq.heappush(queue, (self.ranks[made], k, made))
+
+        queue: list[tuple[int, int, int]] = []
+        for k in range(n - 1):
+            ask(k)
+        while queue:
+            _, k, made = heapq.heappop(queue)
+            right = after[k]
+            if not words[k] or right >= n or self.ids.get(words[k] + words[right]) != made:
+                continue  # one of the two has been merged since
+            last = (parts[k], parts[right])
+            words[k], words[right], parts[k] = words[k] + words[right], "", made
+            after[k] = after[right]
+            if after[k] < n:
+                before[after[k]] = k
+                ask(k)
+            if before[k] >= 0:
+                ask(before[k])
+        return [p for p, w in zip(parts, words) if w], last
 
 
 class Encoder:
@@ -191,7 +210,7 @@ class Encoder:
         return np.array(ids[::-1], np.int32).tobytes()
 
     def _word(self, word: str) -> bytes:
-        """Of a word with two or more marks, where equal merges may be many: by repeated merging."""
+        """Of a word with two or more marks, where equal merges may be many: by merging, not on the trie."""
         ids = []
         for piece in self.v._merged(word)[0]:
             ids += [piece] if piece >= 0 else [self.v.bytes.get(b, self.v.unknown) for b in chr(-1 - piece).encode()]
