@@ -171,7 +171,7 @@ def _train(split: DataFrame, groups, keys, model_type, validation_split, seed, m
         classifier.save(model_path)
     parameters = {
         "model_type": model_type,
-        "estimator": type(classifier.estimator.getStages()[-1]).__name__,
+        "estimator": classifier.estimator_name(),
         "validation_split": validation_split,
         "random_seed": seed,
         "n_features": len(FEATURE_NAMES),
