@@ -171,7 +171,7 @@ def _train(split: DataFrame, groups, keys, model_type, validation_split, seed, m
         classifier.save(model_path)
     parameters = {
         "model_type": model_type,
-        "estimator": classifier.estimator_name(),
+        "estimator": type(classifier.estimator).__name__,
         "validation_split": validation_split,
         "random_seed": seed,
         "n_features": len(FEATURE_NAMES),
