@@ -67,6 +67,7 @@ _VOID = set("area base br col embed hr img input link meta source track wbr".spl
 _ARTICLE = {"article", "main"}
 _AROUND = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset", "head"}
 _CONTAINERS = _ARTICLE | _AROUND | {"div", "section", "ul", "ol", "dl", "table", "p", "li", "blockquote", "figure", "details"}
+_HREF = re.compile(r"\bhref\s*=", re.IGNORECASE)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _AROUND_WORD = (
     r"(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promos?|banners?|nav|navbar|navigation|menus?"
@@ -106,6 +107,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
     linked: list[str] = []
     stack: list[tuple[str, int]] = []
     links = zone = at = 0
+    around = 0  # containers that were open when the link began; it ends with them at the latest
 
     def close() -> None:
         text = " ".join("".join(texts).split())
@@ -128,15 +130,16 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
         if not tag:
             continue
         if tag == "a":
-            links = 0 if token["end"] else 1
+            links = 0 if token["end"] or not _HREF.search(token["rest"]) else 1
+            around = len(stack)
         elif tag not in _INLINE:
             close()
-            links = 0
             if tag in _CONTAINERS:
                 if token["end"]:
                     depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
                     if depth is not None:
                         del stack[depth:]
+                        links = links if depth >= around else 0
                 elif tag not in _VOID and not (tag == "p" and stack and stack[-1][0] == "p"):
                     said = _zone_of(tag, token["rest"], zone)
                     stack.append((tag, zone if said is None else said))
@@ -144,6 +147,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
                     said = _zone_of(tag, token["rest"], zone)
                     outer = stack[-2][1] if len(stack) > 1 else 0
                     stack[-1] = ("p", outer if said is None else said)
+                    links = links if len(stack) > around else 0
                 zone = stack[-1][1] if stack else 0
     if at < len(page):
         add(page[at:])
