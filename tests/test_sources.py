@@ -348,3 +348,14 @@ def test_long_genbank_record(spark, tmp_path):
     (tmp_path / "big.fa").write_text(f">big\n{bases}\n>long line\n" + "\n".join(["acgt" * 20] * 20_000) + "\n")
     read = {r["seq_id"]: len(r["seq"]) for r in fasta.read_fasta(spark, tmp_path / "big.fa").collect()}
     assert read == {"big": 1_000_000, "long": 1_600_000}
+
+
+def test_conversion_of_lists_stays_in_the_row(spark, result_dir, tmp_path):
+    """No feature of a three-list result is shuffled; results of one id in a file are converted one by one."""
+    twice = [list_result("v1", ["orf1", "orf10", "orf2"]), list_result("v1", ["orf2", "orf3"], missing=["orf3"])]
+    (tmp_path / "twice.json").write_text(json.dumps(twice))
+    read = results.read_results(spark, tmp_path / "twice.json")
+    for made in (results.features_from_lists(read), results.conversion_counts(read), results.to_unified(read)):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["expected"], r["actual"]) for r in results.conversion_counts(read).collect()) == [(2, 1), (3, 3)]
+    assert sorted(r["n"] for r in results.to_unified(read).select(F.size("features").alias("n")).collect()) == [1, 3]
