@@ -117,3 +117,17 @@ def test_labels(spark):
     assert one(spark, predicted_label(F.lit(0.5))) == 0
     assert [one(spark, confidence_band(F.lit(p))) for p in (0.95, 0.7, 0.5, 0.05)] == ["high", "medium", "low", "high"]
     assert one(spark, encoding_method(F.lit("anything"))) == "prostt5_aa2fold"
+
+
+def test_entropies_of_a_batch_equal_those_of_single_strings(spark):
+    from codonlake.functions.entropy import entropies_of, short_entropy
+
+    texts = ["", "AAAA", "ACGT", "acGTNN*", None, "é\U0001f600é", "MKV" * 50 + "*", "x y\n"]
+    one = [math.nan if t is None else -sum(t.count(c) / len(t) * math.log2(t.count(c) / len(t)) for c in set(t)) for t in texts]
+    assert entropies_of(texts).tolist() == pytest.approx(one, nan_ok=True)
+    assert not any(math.copysign(1, x) < 0 for x in entropies_of(["AAAA", ""]))
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for options in ({}, {"alphabet_size": 4, "normalize": True}):
+        rows = df.select(short_entropy("t", **options).alias("a"), sequence_entropy("t", **options).alias("b")).collect()
+        assert all((r["a"] is None) == (r["b"] is None) for r in rows)
+        assert [r["a"] for r in rows if r["a"] is not None] == pytest.approx([r["b"] for r in rows if r["b"] is not None])
