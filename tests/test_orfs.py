@@ -272,3 +272,24 @@ def test_orfs_inside_chunks_come_in_one_batch_for_each_read():
     found = {(r["row"], r["strand"], r["frame"], r["place"], r["start"], r["bases"]) for r in made[0].to_pylist() if r["strand"] == "+"}
     wanted = [(0, 4, "ATGGCATAG"), (1, 13, "CCCTAA"), (2, 19, "GGGTGA")]
     assert found == {(r, "+", 1, *w) for r in range(50) for w in wanted}
+
+
+def test_residues_come_with_the_search(spark):
+    """Sequences of every length beside null, empty, lower-case and non-ASCII ones, searched at once."""
+    rng = random.Random(8)
+    seqs = {f"s{i}": "".join(rng.choice("ACGTN") for _ in range(i)) for i in range(60)} | {"none": None, "low": "atgaaataa" * 9}
+    seqs["odd"] = "ATGÅ\U0001f600A" * 4 + "TAAGGGCCC"
+    frame = spark.createDataFrame(list(seqs.items()), "seq_id string, seq string").coalesce(1)
+    for table_id in (11, 4):
+        got = find_orfs(frame, table_id, min_nt_length=3, residues=True)
+        assert "regexp" not in got._jdf.queryExecution().toString() and "translate" not in got._jdf.queryExecution().toString()
+        code = genetic_code(table_id)
+        want = [
+            (*orf, "".join(code.get(orf[5][k : k + 3], "X") for k in range(0, len(orf[5]), 3)))
+            for seq_id, seq in seqs.items()
+            if seq is not None
+            for orf in brute_orfs(seq_id, seq.upper(), 3, table_id)
+        ]
+        assert sorted(tuple(r[c] for c in [*COLUMNS, "aa_sequence"]) for r in got.collect()) == sorted(want)
+    plain = annotate_orfs(find_orfs(frame, min_nt_length=3)).select("parent_id", "orf_id", "aa_sequence")
+    assert plain.exceptAll(find_orfs(frame, min_nt_length=3, residues=True).select("parent_id", "orf_id", "aa_sequence")).isEmpty()
