@@ -359,3 +359,17 @@ def test_conversion_of_lists_stays_in_the_row(spark, result_dir, tmp_path):
         assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
     assert sorted((r["expected"], r["actual"]) for r in results.conversion_counts(read).collect()) == [(2, 1), (3, 3)]
     assert sorted(r["n"] for r in results.to_unified(read).select(F.size("features").alias("n")).collect()) == [1, 3]
+
+
+def test_genbank_parts_are_cut_at_their_lines(spark, tmp_path):
+    """Names inside a line begin nothing, an unfinished origin has no bases, and no expression walks a record."""
+    text = (
+        "LOCUS       L1\r\nACCESSION\n  A1\nCOMMENT x VERSION no\nFEATURES\n     CDS             join(1..3,\n                     X2.1:5..9)\n"
+        '                     /note="CDS  7..8"\n     gene            1..9\n                     /translation="QQ"\nCONTIG x\n     CDS             1..2\n'
+        "ORIGIN\n        1 acé gt\n xORIGIN\n//\nLOCUS       L2\nORIGIN\n//\nLOCUSX L3\nORIGIN\n acgt\n//\n"
+    )
+    (tmp_path / "x.gb").write_text(text, encoding="utf-8")
+    seqs, cds = genbank.read_genbank(spark, tmp_path / "x.gb"), genbank.read_cds(spark, tmp_path / "x.gb")
+    assert dict(pairs(seqs)) == {"A1": "ACGTXORIGIN", "L2": ""}
+    assert [tuple(r) for r in cds.collect()] == [("A1", 0, 9, "+", "")]
+    assert "value RLIKE" not in seqs._jdf.queryExecution().toString() and "regexp_extract(" not in seqs._jdf.queryExecution().toString()
