@@ -373,3 +373,23 @@ def test_genbank_parts_are_cut_at_their_lines(spark, tmp_path):
     assert dict(pairs(seqs)) == {"A1": "ACGTXORIGIN", "L2": ""}
     assert [tuple(r) for r in cds.collect()] == [("A1", 0, 9, "+", "")]
     assert "value RLIKE" not in seqs._jdf.queryExecution().toString() and "regexp_extract(" not in seqs._jdf.queryExecution().toString()
+
+
+def test_both_forms_are_read_in_one_scan(spark, tmp_path):
+    """One scan of the files gives the features of either form, and maps are not shuffled between their group and their join."""
+    path = str(tmp_path / "empty")
+    spark.createDataFrame([("{}",)], "value string").write.text(path)
+    read = results.read_results(spark, path, json_lines=True, validate=False)
+    plan = results.flat_features(read)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Union" not in plan
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        flat = results.flat_features(read)
+        flat = flat.withColumn("input_id", F.col("parent_id"))
+        heads = read.select("input_id", "input_dna_length", "dna_entropy_global", "alphabet_sizes")
+        plan = results.nest_features(flat, heads)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2
