@@ -67,7 +67,10 @@ def orf_rows(orfs: DataFrame, *extra) -> DataFrame:
 
 def features(spark, sf_dir) -> DataFrame:
     return jobs.feature_table(
-        d.sequences(spark, sf_dir), d.coding_sequences(spark, sf_dir), encoder_factory=d.stand_in_encoder
+        d.sequences(spark, sf_dir),
+        d.coding_sequences(spark, sf_dir),
+        encoder_factory=d.stand_in_encoder,
+        lengths=d.lengths(spark, sf_dir),
     )
 
 

@@ -293,3 +293,15 @@ def test_residues_come_with_the_search(spark):
         assert sorted(tuple(r[c] for c in [*COLUMNS, "aa_sequence"]) for r in got.collect()) == sorted(want)
     plain = annotate_orfs(find_orfs(frame, min_nt_length=3)).select("parent_id", "orf_id", "aa_sequence")
     assert plain.exceptAll(find_orfs(frame, min_nt_length=3, residues=True).select("parent_id", "orf_id", "aa_sequence")).isEmpty()
+
+
+def test_search_without_bases_and_with_known_lengths(spark):
+    """ORFs that need no bases carry none, and a bound on the lengths saves deriving the sequences to ask for long ones."""
+    frame = frame_of(spark, random_sequences())
+    for tile in (3_000_000, 90):
+        whole = find_orfs(frame, min_nt_length=30, tile_bases=tile, residues=True)
+        bare = find_orfs(frame, min_nt_length=30, tile_bases=tile, residues=True, bases=False, lengths=frame.select(F.length("seq") + 7))
+        assert "nt_sequence" not in bare.columns and bare.count() > 0
+        assert whole.drop("nt_sequence").exceptAll(bare).isEmpty() and bare.exceptAll(whole.drop("nt_sequence")).isEmpty()
+    derived = frame.withColumn("seq", F.raise_error(F.lit("derived")).cast("string"))
+    find_orfs(derived, lengths=frame.select(F.length("seq")))
