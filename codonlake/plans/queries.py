@@ -863,7 +863,7 @@ def fasta_files_refused(spark, sf_dir):
 @query
 def encoded_without_gaps(spark, sf_dir):
     """The encode job from a table and from FASTA: the same strings, and no protein left out."""
-    proteins = d.proteins(spark, sf_dir)
+    proteins = stored(d.proteins(spark, sf_dir, bases=False).select(*KEYS, "protein_aa", "aa_length"), "proteins")
     path = scratch_path(spark, "faa")
     name = F.concat_ws("/", *KEYS).alias("seq_id")
     fasta.write_fasta(proteins.where("protein_aa <> ''").select(name, F.col("protein_aa").alias("seq")), path)
