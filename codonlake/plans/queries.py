@@ -391,7 +391,7 @@ def stages_merged(spark, sf_dir):
 @query
 def stage_completeness(spark, sf_dir):
     """Expected and actual features per sequence when some stages lack rows."""
-    orfs = d.orfs(spark, sf_dir)
+    orfs = stored(d.orfs(spark, sf_dir, bases=False).select("parent_id", "has_start_codon"), "starts")
     return assemble.completeness(orfs, orfs.where("has_start_codon")).select(
         "parent_id", big("expected").alias("expected"), big("actual").alias("actual")
     )
