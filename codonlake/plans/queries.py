@@ -400,7 +400,9 @@ def stage_completeness(spark, sf_dir):
 @query
 def entropy_attached(spark, sf_dir):
     """Entropies joined by ORF; ORFs without a start have none and get 0."""
-    proteins = d.proteins(spark, sf_dir).withColumn("three_di", F.lit(""))
+    # what is measured is kept of ORFs with a start alone
+    texts = [F.when(F.col("has_start_codon"), F.col(c)).alias(c) for c in ("nt_sequence", "protein_aa")]
+    proteins = stored(d.proteins(spark, sf_dir).select(*KEYS, "has_start_codon", *texts), "proteins").withColumn("three_di", F.lit(""))
     entropies = levels.level_entropies(proteins.where("has_start_codon"))
     joined = assemble.attach_entropy(proteins, entropies)
     return joined.select(
