@@ -196,21 +196,24 @@ def open_reading_frames_from_start(spark, sf_dir):
 def orf_nucleotides_by_coordinate(spark, sf_dir):
     """Coordinates joined back to their parents."""
     seqs = d.sequences(spark, sf_dir)
-    found, _ = attach_orf_sequences(find_orfs(seqs), seqs)
+    found, _ = attach_orf_sequences(find_orfs(seqs, bases=False, lengths=d.lengths(spark, sf_dir)), seqs)
     return found.select(*KEYS, F.md5("nt_sequence").alias("nt_md5"))
 
 
 @query
 def orf_parent_missing(spark, sf_dir):
     """ORFs whose parent is not among the annotated sequences."""
-    _, orphans = attach_orf_sequences(find_orfs(d.sequences(spark, sf_dir)), d.annotated_sequences(spark, sf_dir))
+    _, orphans = attach_orf_sequences(
+        find_orfs(d.sequences(spark, sf_dir), bases=False, lengths=d.lengths(spark, sf_dir)), d.annotated_sequences(spark, sf_dir)
+    )
     return orphans.select(*KEYS)
 
 
 @query
 def sequences_lacking_orfs(spark, sf_dir):
     seqs = d.sequences(spark, sf_dir)
-    return sequences_without_orfs(seqs, find_orfs(seqs)).select("seq_id", big(F.length("seq")).alias("dna_length"))
+    found = find_orfs(seqs, bases=False, lengths=d.lengths(spark, sf_dir))
+    return sequences_without_orfs(seqs, found).select("seq_id", big(F.length("seq")).alias("dna_length"))
 
 
 @query
