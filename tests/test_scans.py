@@ -1,9 +1,10 @@
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from codonlake.operators.encoding import _by_batch_id
 from codonlake.plans import derived as d, queries
-from codonlake.sources import fasta
+from codonlake.sources import fasta, results
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,3 +47,23 @@ def test_lines_with_and_without_white_space_are_read_alike(spark, tmp_path):
     (tmp_path / "a.fasta").write_text(">a x\nacgt\nAC\n\ngt\n>b\n  ac \t\n gt\x0c\n\n>c\n>d\r\nac\r\ngt\r\n>e z")
     got = {r["seq_id"]: r["seq"] for r in fasta.read_fasta(spark, str(tmp_path)).collect()}
     assert got == {"a": "ACGTACGT", "b": "ACGT", "c": "", "d": "ACGT", "e": ""}
+
+
+def test_both_forms_are_written_in_one_scan(spark, tmp_path):
+    """Unified results and lists of one read: the plan has a single scan, and each row is there once."""
+    flat = queries.features(spark, SF).limit(60)
+    flat.write.parquet(str(tmp_path / "flat"))
+    flat = spark.read.parquet(str(tmp_path / "flat"))
+    heads = queries.jobs.result_headers(d.sequences(spark, SF), flat).limit(5)
+    results.write_results(results.nest_features(flat, heads), str(tmp_path / "in" / "unified"))
+    queries._list_results(flat).write.json(str(tmp_path / "in" / "lists"))
+    read = results.read_results(spark, [str(p) for p in (tmp_path / "in").glob("*/*.json")], json_lines=True)
+    n_lists, n = flat.select("parent_id").distinct().count(), read.count()
+    for parts in (1, 3):
+        out = results.to_unified(read, parts)
+        assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+        sizes = out.select(F.size("features").alias("n")).agg(F.sum("n"), F.count("*")).first()
+        want = read.where("format = 'unified'").select(F.size("features").alias("n")).agg(F.sum("n")).first()[0]
+        assert sizes[0] == want + flat.where("has_start_codon").count()
+        assert sizes[1] == n if parts == 1 else sizes[1] >= n
+    assert n_lists > 0
